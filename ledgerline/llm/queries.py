@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import pii, sharding
+from ledgerline.llm import bpe, pii, sharding, simhash_dedup
 
-MODULES = (pii, sharding)
+MODULES = (pii, bpe, simhash_dedup, sharding)
 
 
 def queries() -> dict:
