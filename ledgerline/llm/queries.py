@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, packing, pii, sharding, simhash, simhash_dedup
+from ledgerline.llm import bpe, packing, pii, sharding, simhash, simhash_dedup, suffix_dedup
 
-MODULES = (simhash, pii, bpe, simhash_dedup, sharding, packing)
+MODULES = (simhash, pii, bpe, simhash_dedup, sharding, packing, suffix_dedup)
 
 
 def queries() -> dict:
