@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import bpe, packing, pii, quality, sharding, simhash, simhash_dedup, suffix_dedup, toxicity
+from ledgerline.llm import bpe, embedding_dedup, packing, pii, quality, sharding, simhash, simhash_dedup, suffix_dedup, toxicity
 
-MODULES = (quality, simhash, pii, bpe, simhash_dedup, sharding, packing, toxicity, suffix_dedup)
+MODULES = (quality, simhash, pii, bpe, embedding_dedup, simhash_dedup, sharding, packing, toxicity, suffix_dedup)
 
 
 def queries() -> dict:
