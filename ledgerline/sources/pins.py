@@ -17,12 +17,13 @@ _ENTRY = re.compile(r"^ {4}([0-9a-f]{16}|MISSING) {2}(.+)$")
 _COUNT = re.compile(r"^ {2}inputs \((\d+)\), (?:sha256|content digest):$")
 _FIELD = re.compile(r"^ {2}(\w+) +: (.*)$")
 
-PIN_TYPE = "fields map<string,string>, declared int, entries array<struct<digest:string,name:string>>, body_line int"
+PIN_TYPE = "fields map<string,string>, declared int, entries array<struct<digest:string,name:string>>, body_at int"
 
 
 def parse(head: str) -> list[dict]:
     """All pins of a file's head; none unless the first opens within FIRST_LINES lines."""
-    lines, found, k = head.splitlines(), [], 0
+    kept = head.split("\n")
+    lines, found, k = [x.rstrip("\r") for x in kept], [], 0
     while k < len(lines):
         at = lines[k].find(ANCHOR)
         if at < 0:
@@ -47,15 +48,15 @@ def parse(head: str) -> list[dict]:
             else:
                 break
             k += 1
-        found.append(pin | {"body_line": k})
+        found.append(pin | {"body_at": len("\n".join(kept[:k]).encode()) + (k < len(kept))})
     return found
 
 
 def pins_of(heads: DataFrame, key: str, head: str, keep: list[str] = ()) -> DataFrame:
-    """(key, keep..., pin_no, fields, declared, entries, body_line): a row for each pin; none for files without."""
+    """(key, keep..., pin_no, fields, declared, entries, body_at): a row for each pin; none for files without. body_at is the byte at which what follows the pin begins."""
     names = [key, *keep]
     schema = ", ".join(f"{c} {t}" for c, t in heads.select(*names).dtypes) + ", pin_no int, " + PIN_TYPE
-    types = {"fields": pa.map_(pa.string(), pa.string()), "declared": pa.int32(), "entries": pa.list_(pa.struct([("digest", pa.string()), ("name", pa.string())])), "body_line": pa.int32()}
+    types = {"fields": pa.map_(pa.string(), pa.string()), "declared": pa.int32(), "entries": pa.list_(pa.struct([("digest", pa.string()), ("name", pa.string())])), "body_at": pa.int32()}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
