@@ -26,6 +26,8 @@ from ledgerline.llm.components import components
 COSINE = 0.98
 #: Sampled vectors that the index is fitted on at most (expected), the most lists, values in a subspace, rows of a list that a task holds.
 SAMPLE, MAX_LISTS, SUBSPACE, CROWD = 16_384, 1_024, 4, 2_048
+#: Codewords of a subspace: few, as a table of them is made for each query and list.
+WORDS = 64
 _SLACK = 1e-6
 
 
@@ -52,8 +54,8 @@ class Index:
         rng = np.random.default_rng(0)
         centres = _kmeans(x, lists, 8, rng)
         rest = cls._split(x - centres[cls._nearest(x, centres)[0]])
-        found = [_kmeans(rest[:, m], 256, 6, rng) for m in range(rest.shape[1])]
-        words = np.stack([c[np.arange(256) % len(c)] for c in found])
+        found = [_kmeans(rest[:, m], WORDS, 6, rng) for m in range(rest.shape[1])]
+        words = np.stack([c[np.arange(WORDS) % len(c)] for c in found])
         return cls(centres, words, math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK)
 
     @staticmethod
@@ -75,17 +77,18 @@ class Index:
         codes = np.stack([self._nearest(rest[:, m], self.words[m])[0] for m in range(rest.shape[1])], axis=1).astype(np.uint8)
         coded = self.words[np.arange(rest.shape[1]), codes]
         error = np.sqrt(((rest - coded) ** 2).sum((1, 2)))
-        apart = np.sqrt(np.maximum(0, ((self.centres[:, None] - self.centres) ** 2).sum(2))) if len(self.centres) <= 256 else np.sqrt(np.maximum(0, self._nearest(self.centres, self.centres)[1]))
+        apart = np.sqrt(np.maximum(0, self._nearest(self.centres, self.centres)[1]))
         reach = d - d[np.arange(len(x)), own][:, None] <= 2 * self.radius * apart[own] + _SLACK
         return own, codes, error, [np.flatnonzero(r) for r in reach]
 
     def candidates(self, q: np.ndarray, centre: int, codes: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) pairs of one list that table-lookup distances can't rule out."""
-        rest = self._split(q - self.centres[centre])
+        rest = self._split(q - self.centres[centre]).transpose(1, 0, 2)
+        # the tables of all queries, one product for each subspace
+        tables = (rest**2).sum(2)[:, :, None] - 2 * rest @ self.words.transpose(0, 2, 1) + (self.words**2).sum(2)[:, None]
         total = np.zeros((len(q), len(codes)))
         for m in range(codes.shape[1]):
-            tables = ((rest[:, m, None] - self.words[m]) ** 2).sum(2)
-            total += tables[:, codes[:, m]]
+            total += tables[m][:, codes[:, m]]
         return np.nonzero(total <= (self.radius + error + _SLACK) ** 2)
 
 
