@@ -21,10 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.common import table
+from ledgerline.llm.common import mapped, table
 
 #: Code points that are handled together, words that a worker remembers, longest word that is named by its rolling hash.
-CHUNK, REMEMBERED, LONG = 1 << 20, 1_000_000, 48
+CHUNK, REMEMBERED, LONG = 1 << 18, 300_000, 48
 OTHER, LETTER, NUMBER, WHITE = range(4)
 #: Unicode white space.
 _WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -300,7 +300,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
             n, ids, decoded = zip(*codec(path).digests(texts), strict=True) if texts else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), each, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

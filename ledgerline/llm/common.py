@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Rows and bytes of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -47,5 +56,32 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def mapped(df: DataFrame, each: Callable, schema: str | StructType) -> DataFrame:
+    """``df`` through a function over Arrow batches that are bounded in rows and in bytes.
+
+    Texts may be long and executors small, so the session's batches, which are bounded by
+    many rows alone, are made smaller; a worker holds a few of them at a time.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers are reused and stay beside later stages that need none of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries know it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import stored, table
+from ledgerline.llm.common import mapped, stored, table
 from ledgerline.llm.components import components
 
 COSINE = 0.98
@@ -129,7 +129,7 @@ def _packed(rows: DataFrame) -> DataFrame:
             own = pa.array([np.asarray(x.values, np.float32).tobytes() for x in batch.column("embedding")], pa.binary())
             yield pa.RecordBatch.from_arrays([own if c == "embedding" else batch.column(c) for c in names], names=names)
 
-    return rows.mapInArrow(each, ", ".join(f"{c} {'binary' if c == 'embedding' else t}" for c, t in rows.dtypes))
+    return mapped(rows, each, ", ".join(f"{c} {'binary' if c == 'embedding' else t}" for c, t in rows.dtypes))
 
 
 def _links_of(classes: DataFrame, dim: int, cosine: float, crowd: int, sample: int) -> DataFrame:
@@ -148,7 +148,7 @@ def _links_of(classes: DataFrame, dim: int, cosine: float, crowd: int, sample: i
                 cols = [part.column("label"), part.column("cid"), part.column("n"), part.column("v"), pa.array(own.astype(np.int32)), pa.array([bytes(c) for c in codes], pa.binary()), pa.array(error), pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["label", "cid", "n", "v", "list", "code", "error", "probes"])
 
-    rows = stored(classes.mapInArrow(coded, "label int, cid long, n long, v binary, list int, code binary, error double, probes array<int>"), "codes")
+    rows = stored(mapped(classes, coded, "label int, cid long, n long, v binary, list int, code binary, error double, probes array<int>"), "codes")
     asks = rows.select("label", "cid", "v", F.explode("probes").alias("list"))
     # a list is cut into parts of about ``crowd`` rows, its askers as well; each part of one meets each of the other
     sizes = rows.groupBy("label", "list").agg(F.ceil(F.count("*") / crowd).cast("int").alias("parts"))

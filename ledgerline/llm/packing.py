@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.bpe import WordTable, chunks, code_points, spaced_words
-from ledgerline.llm.common import table
+from ledgerline.llm.common import mapped, table
 
 CAPACITY, END_ID = 2048, 1
 #: The least exact class is capacity / TAIL; shorter rests are not cut.
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, tail: int = TAIL)
         if rows := list(packer.finish()):
             yield batch_of(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(each, SCHEMA)
+    return mapped(docs.select("doc_id", "text"), each, SCHEMA)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

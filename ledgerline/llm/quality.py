@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import chunks
-from ledgerline.llm.common import stored, table
+from ledgerline.llm.common import mapped, stored, table
 from ledgerline.llm.features import NAMES, quality_features
 
 #: Labelled rows that a model is fitted on at most (expected; drawn by a hash of the id).
@@ -146,7 +146,7 @@ def features(docs: DataFrame) -> DataFrame:
             rows = [bytes(r) for group in chunks(texts) for r in quality_features(group)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, x binary")
+    return mapped(docs.select("doc_id", "text"), each, "doc_id long, x binary")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -168,7 +168,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
             x = np.frombuffer(b"".join(batch.column("x").to_pylist())).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    scored = found.mapInArrow(each, "doc_id long, score double")
+    scored = mapped(found, each, "doc_id long, score double")
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import CHUNK, LETTER, NUMBER, classes, code_points, word_hashes
-from ledgerline.llm.common import stored, table
+from ledgerline.llm.common import mapped, stored, table
 
 BITS, GRAM, SHORT = 128, 5, 400
 #: Search: bits that may differ, blocks that a fingerprint is cut into.
@@ -179,7 +179,7 @@ def compare(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         if rows:
             yield finish(texts, rows)
 
-    return with_following(docs, range_rows).mapInArrow(each, _SCHEMA)
+    return mapped(with_following(docs, range_rows), each, _SCHEMA)
 
 
 def _blocks(fingerprint: Column, blocks: int) -> list[Column]:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import stored, table
+from ledgerline.llm.common import mapped, stored, table
 from ledgerline.llm.components import components
 
 BITS, SEGMENTS, RADIUS, SHINGLE, SEED = 64, 5, 2, 3, 42
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, fp long")
+    return mapped(docs.select("doc_id", "text"), each, "doc_id long, fp long")
 
 
 def _layout(segments: int) -> list[int]:

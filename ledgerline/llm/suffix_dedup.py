@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import chunks, code_points, word_hashes
-from ledgerline.llm.common import forget, stored, table
+from ledgerline.llm.common import forget, mapped, stored, table
 
 MIN_WORDS, WINDOW = 50, 18
 SEED = MIN_WORDS - WINDOW + 1
@@ -101,7 +101,7 @@ def kept_suffixes(keyed: DataFrame) -> DataFrame:
                 done += len(group)
                 yield pa.RecordBatch.from_arrays([pa.array(w.hashes(at, SEED).view(np.int64)), batch.column("doc_id").take(rows), batch.column("h").take(rows), pa.array((at - w.first[of]).astype(np.int32))], names=["seed", "doc_id", "h", "pos"])
 
-    return keyed.mapInArrow(each, "seed long, doc_id long, h long, pos int")
+    return mapped(keyed, each, "seed long, doc_id long, h long, pos int")
 
 
 def _runs(marked: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def _runs(marked: DataFrame) -> DataFrame:
                 cols.append(pa.array([names[8 * b : 8 * (b + n)] for b, n in zip(begin.tolist(), size.tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=["span", "words", "doc_id", "h", "at", "windows"])
 
-    return marked.select("doc_id", "h", "text", "pos").mapInArrow(each, "span long, words int, doc_id long, h long, at int, windows binary")
+    return mapped(marked.select("doc_id", "h", "text", "pos"), each, "span long, words int, doc_id long, h long, at int, windows binary")
 
 
 def _windows(classes: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _windows(classes: DataFrame) -> DataFrame:
             cols = [pa.array(np.concatenate([np.zeros(0, np.int64), *names])), pa.array(i), *(batch.column(c).take(rows) for c in ("span", "words", "n", "doc_id", "h", "at"))]
             yield pa.RecordBatch.from_arrays(cols, names=["name", "i", "span", "words", "n", "doc_id", "h", "at"])
 
-    exploded = classes.mapInArrow(each, "name long, i int, span long, words int, n long, doc_id long, h long, at int")
+    exploded = mapped(classes, each, "name long, i int, span long, words int, n long, doc_id long, h long, at int")
     return exploded.select("name", "span", "words", "i", "n", F.struct("doc_id", "h", (F.col("at") + F.col("i")).alias("at")).alias("place"))
 
 
@@ -225,7 +225,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 own["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([own.get(c, batch.column(c)) for c in names], names=names)
 
-    return both.select(*names, "gone", "held").mapInArrow(each, docs.schema)
+    return mapped(both.select(*names, "gone", "held"), each, docs.schema)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import chunks
-from ledgerline.llm.common import stored, table
+from ledgerline.llm.common import mapped, stored, table
 from ledgerline.llm.features import hashed_words
 from ledgerline.llm.quality import drawn, held_out, learnable
 
@@ -82,8 +82,7 @@ class Classifiers:
         usual = (in_u + 1) / (len(unlabelled) + 2)
         excess = (in_p - len(positive) * usual) / np.sqrt(len(positive) * usual * (1 - usual) + 1)
         self.slots = np.flatnonzero((in_p >= max(LEAST_TEXTS, LEAST_PART * len(positive))) & (excess >= LEAST_EXCESS))
-        place = np.full(1 << HASH_BITS, -1, np.int64)
-        place[self.slots] = np.arange(len(self.slots))
+        place = self._places()
         rng, found = np.random.default_rng(0), []
         u = _rows(unlabelled, place)
         for k in range(MODELS):
@@ -91,11 +90,15 @@ class Classifiers:
             found.append(_train(_rows(chosen, place), u, len(positive), len(unlabelled), len(self.slots), self.prior))
         self.weights, self.base = np.stack([w[:-1] for w in found], axis=1), np.array([w[-1] for w in found])
 
+    def _places(self) -> np.ndarray:
+        """For each hashed word the number of its feature, or -1."""
+        place = np.full(1 << HASH_BITS, -1, np.int32)
+        place[self.slots] = np.arange(len(self.slots))
+        return place
+
     def score(self, texts: list[str]) -> np.ndarray:
         """A score for each text; an empty one has what the intercepts say."""
-        place = np.full(1 << HASH_BITS, -1, np.int64)
-        place[self.slots] = np.arange(len(self.slots))
-        of, at = _rows(list(word_slots(texts)), place)
+        of, at = _rows(list(word_slots(texts)), self._places())
         z = np.stack([np.bincount(of, self.weights[at, k], len(texts)) for k in range(MODELS)], axis=1) + self.base
         return _sigmoid(z).mean(axis=1)
 
@@ -119,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("u"), pa.array([s.tobytes() for s in word_slots(texts)], pa.binary())], names=["p", "u", "slots"])
 
     # the broadcast and what is collected are bounded by positives + unlabelled
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "p", "u").mapInArrow(each, "p int, u int, slots binary").collect()
+    texts = mapped(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "p", "u"), each, "p int, u int, slots binary").collect()
     apart = lambda c: [np.frombuffer(s, np.uint32) for s in dict.fromkeys(bytes(r.slots) for r in texts if r[c])]
     return Classifiers(apart("p"), apart("u"), toxic / max(1, n))
 
@@ -134,7 +137,7 @@ def score_toxicity(docs: DataFrame, model: Classifiers) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(model.score(texts))], names=[*names, "toxic_score"])
 
     schema = docs.select(*names).withColumn("toxic_score", F.lit(0.0)).schema
-    return docs.select(*names).mapInArrow(each, schema)
+    return mapped(docs.select(*names), each, schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
