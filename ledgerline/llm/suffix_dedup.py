@@ -164,11 +164,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     keyed = _keyed(docs)
     suffixes = stored(kept_suffixes(keyed), "suffixes")
-    common = suffixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed")
+    # stored, so that the join deals out both sides anew and a seed that very many texts share can be split
+    common = stored(suffixes.groupBy("seed").agg(F.count("*").alias("n")).filter("n > 1").select("seed"), "seeds")
     marked = suffixes.join(common, "seed").groupBy("doc_id", "h").agg(F.collect_set("pos").alias("pos")).withColumnsRenamed({"doc_id": "d", "h": "k"})
     texts = keyed.join(marked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("k")))
     runs = stored(_runs(texts), "runs")
     forget(suffixes)
+    forget(common)
     first = F.min(F.struct("doc_id", "h", "at", "windows")).alias("first")
     classes = runs.groupBy("span", "words").agg(F.count("*").alias("n"), first).select("span", "words", "n", "first.*")
     windows = stored(_windows(classes), "windows")
