@@ -97,18 +97,23 @@ def lineage_many_digests(spark, sf_dir):
     return lineage.resolve(made, read)
 
 
+def _turns(spark, sf_dir):
+    """Edges from each turn to the next and the first turns of all conversations."""
+    turns = _t(spark, sf_dir, "conversations", "conv_id", "turn").distinct()
+    name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
+    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"))
+    edges = turns.join(nxt, ["conv_id", "turn"]).select(name(F.col("turn")).alias("src"), name(F.col("turn") + 1).alias("dst"))
+    seeds = turns.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(name(F.col("turn")).alias("node"))
+    return edges, seeds
+
+
 @query("""
 with recursive e as (select conv_id || ':' || turn as src, conv_id || ':' || (turn + 1) as dst from conversations c where exists (select 1 from conversations d where d.conv_id = c.conv_id and d.turn = c.turn + 1)),
 first as (select conv_id || ':' || min(turn) as node from conversations group by conv_id),
 w(node, depth) as (select node, 1 from first union all select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 5)
 select node, min(depth) as depth, min(depth) > 4 as beyond from w group by node""")
 def impact_bfs(spark, sf_dir):
-    turns = _t(spark, sf_dir, "conversations", "conv_id", "turn").distinct()
-    name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), t.cast("string"))
-    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"))
-    edges = turns.join(nxt, ["conv_id", "turn"]).select(name(F.col("turn")).alias("src"), name(F.col("turn") + 1).alias("dst"))
-    seeds = turns.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(name(F.col("turn")).alias("node"))
-    return graph.walk(edges, seeds, max_depth=4)
+    return graph.walk(*_turns(spark, sf_dir), max_depth=4)
 
 
 @query("""
@@ -116,7 +121,7 @@ with recursive e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey a
 w(node, depth) as (select 's1', 1 union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 6)
 select node, min(depth) as depth from w group by node""")
 def import_closure(spark, sf_dir):
-    """Reachability over a graph with cycles and many paths. The edges are the rows of two residue classes by definition of the graph."""
+    """Reachability within six steps over a part of the rows, as in the SQL; import_closure_whole walks over all of them."""
     rows = _t(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_partkey")
     s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     kind = F.col("l_orderkey") % 50
@@ -124,6 +129,20 @@ def import_closure(spark, sf_dir):
     return graph.walk(edges, spark.createDataFrame([("s1",)], "node string"), max_depth=6).filter("not beyond").drop("beyond")
 
 
+@query()
+def import_closure_whole(spark, sf_dir):
+    """All that s1 reaches over all rows, to the fixed point: orders of even keys lead from supplier to part, others back.
+
+    The least depth of each node has no SQL that ends on cycles without a bound; a test
+    compares it with a walk in plain Python.
+    """
+    rows = _t(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_partkey").dropna(subset=["l_suppkey", "l_partkey"])
+    s, p = F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    even = F.coalesce(F.col("l_orderkey") % 2 == 0, F.lit(False))
+    edges = rows.filter(even).select(s.alias("src"), p.alias("dst")).unionAll(rows.filter(~even).select(p, s))
+    return graph.walk(edges, spark.createDataFrame([("s1",)], "node string")).drop("beyond")
+
+
 @query("select conv_id, turn, sha256(text) as digest, lag(sha256(text)) over (partition by conv_id order by turn) as before from conversations")
 def hash_chain(spark, sf_dir):
     order = Window.partitionBy("conv_id").orderBy("turn")
@@ -328,13 +347,17 @@ def snapshot_parse(spark, sf_dir):
     return maintenance.parse_packages(lines, "env", "number", "line").select("env", "number", "kind", "name", "version")
 
 
+def _package_sets(spark, sf_dir, number):
+    p = _t(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").groupBy(F.col("p_brand").alias("env"), F.concat(F.lit("p"), number.cast("string")).alias("name")).agg(F.max("p_size").cast("string").alias("version"))
+    rows = p.withColumns({"manager": F.lit("pip"), "build": F.lit(None).cast("string"), "kind": F.lit("pip")})
+    return maintenance.package_set_digest(rows, "env", "packages.v1").select("env", "digest", "n_packages")
+
+
 @query("""
 with p as (select distinct p_brand as env, 'p' || p_partkey % 50 as name, max(p_size)::varchar as version from part group by 1, 2)
 select env, sha256('packages.v1' || chr(10) || string_agg('pip ' || name || ' ' || version || chr(10), '' order by name)) as digest, count(*) as n_packages from p group by env""")
 def package_set(spark, sf_dir):
-    p = _t(spark, sf_dir, "part", "p_partkey", "p_size", "p_brand").groupBy(F.col("p_brand").alias("env"), F.concat(F.lit("p"), (F.col("p_partkey") % 50).cast("string")).alias("name")).agg(F.max("p_size").cast("string").alias("version"))
-    rows = p.withColumns({"manager": F.lit("pip"), "build": F.lit(None).cast("string"), "kind": F.lit("pip")})
-    return maintenance.package_set_digest(rows, "env", "packages.v1").select("env", "digest", "n_packages")
+    return _package_sets(spark, sf_dir, F.col("p_partkey") % 50)
 
 
 @query("""
