@@ -116,6 +116,16 @@ def impact_bfs(spark, sf_dir):
     return graph.walk(*_turns(spark, sf_dir), max_depth=4)
 
 
+@query("""
+with recursive t as (select distinct conv_id, turn from conversations), e as (select t.conv_id || ':' || t.turn as src, t.conv_id || ':' || (t.turn + 1) as dst from t join t u on u.conv_id = t.conv_id and u.turn = t.turn + 1),
+first as (select conv_id || ':' || min(turn) as node from t group by conv_id),
+w(node, depth) as (select node, 1 from first union select e.dst, w.depth + 1 from w join e on e.src = w.node)
+select node, min(depth) as depth from w group by node""")
+def impact_unlimited(spark, sf_dir):
+    """The walk of impact_bfs to its end: every turn that follows a conversation's first without a gap."""
+    return graph.walk(*_turns(spark, sf_dir)).drop("beyond")
+
+
 @query("""
 with recursive e as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem where l_orderkey % 50 = 0 union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem where l_orderkey % 50 = 1),
 w(node, depth) as (select 's1', 1 union select e.dst, w.depth + 1 from w join e on e.src = w.node where w.depth < 6)
