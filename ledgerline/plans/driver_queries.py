@@ -370,6 +370,14 @@ def package_set(spark, sf_dir):
     return _package_sets(spark, sf_dir, F.col("p_partkey") % 50)
 
 
+@query("""
+with p as (select p_brand as env, 'p' || p_partkey as name, max(p_size)::varchar as version from part group by 1, 2)
+select env, sha256('packages.v1' || chr(10) || string_agg('pip ' || name || ' ' || version || chr(10), '' order by name)) as digest, count(*) as n_packages from p group by env""")
+def package_set_whole(spark, sf_dir):
+    """Environments whose packages are all parts of a brand, so that they grow with the table."""
+    return _package_sets(spark, sf_dir, F.col("p_partkey"))
+
+
 @query("""
 with a as (select p_name as name, max(p_size)::varchar as v from part where p_partkey % 2 = 0 group by 1), b as (select p_name as name, max(p_size)::varchar as v from part where p_partkey % 2 = 1 group by 1)
 select name, a.v as value_a, b.v as value_b, case when a.v is null then 'ADDED' when b.v is null then 'REMOVED' else 'CHANGED' end as change from a full outer join b using (name) where a.v is distinct from b.v""")
