@@ -25,7 +25,19 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Signs of an account number by country; others have 15 to 34.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+_FIXED = "|".join(IBAN_LENGTHS.values())
+_IBAN = (
+    r"(?<![A-Za-z0-9])(?:"
+    + "".join(rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}|" for n, codes in IBAN_LENGTHS.items())
+    + rf"(?!{_FIXED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+)
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE, "iban": _IBAN, "ssn": _SSN}
 
@@ -118,6 +130,19 @@ def _located(gaps: Column, found: Column) -> Column:
     return F.aggregate(blocks, zero, block, lambda acc: F.flatten(acc["out"]))
 
 
+def _iban_ends(located: Column) -> Column:
+    """Matches of countries without a fixed length, cut at the last gap up to which mod-97 holds, where there is one."""
+
+    def cut(m: Column) -> Column:
+        groups = F.split(m["value"], " ")
+        heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+        good = F.filter(heads, lambda h: (F.char_length(F.regexp_replace(h, " ", "")) >= 15) & _mod97(h))
+        value = F.coalesce(F.get(good, F.lit(0)), m["value"])
+        return F.when(m["value"].rlike(f"^(?:{_FIXED})"), m).otherwise(F.struct(m["start"].alias("start"), (m["start"] + F.char_length(value)).alias("end"), value.alias("value")))
+
+    return F.transform(located, cut)
+
+
 def _accepted(text: Column, kind: str, located: Column) -> Column:
     """Of located matches those that validators and score accept: array<struct<kind, start, end, score>>."""
 
@@ -127,6 +152,7 @@ def _accepted(text: Column, kind: str, located: Column) -> Column:
         near = F.when(around.rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.round(F.lit(PRIOR[kind]) + near, 2).alias("score"))
 
+    located = _iban_ends(located) if kind == "iban" else located
     spans = F.transform(F.filter(located, lambda m: _holds(kind, m["value"])), scored)
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= ACCEPT)
 

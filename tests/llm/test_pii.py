@@ -74,3 +74,22 @@ def test_query_digests_and_empty_table(spark, tmp_path):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, _, _ in spans) for x in pii.BASE]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(empty).count() == 0
+
+
+def test_account_numbers_end_where_their_country_says(spark):
+    def whole(start):  # a number of a country without a fixed length, with its check digits
+        number = int("".join(str(int(c, 36)) for c in start[4:] + start[:2] + "00"))
+        return f"{start[:2]}{98 - number % 97:02d}{start[4:]}"
+
+    other = whole("ZZ00ABCD123456789012")
+    spaced = " ".join(other[i : i + 4] for i in range(0, len(other), 4))
+    accounts = {
+        "GB82 WEST 1234 5698 7654 32 EUR 500": ["GB82 WEST 1234 5698 7654 32"],
+        "DE89 3704 0044 0532 0130 00 30 days": ["DE89 3704 0044 0532 0130 00"],
+        "GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 NO93 8601 1117 947 X": ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"],
+        f"to {spaced} EUR 500": [spaced],
+        "DE89 3704 0044 0532 0130 01 30 days": [],
+    }
+    df = spark.createDataFrame([(t,) for t in accounts], "text string")
+    for r in pii.find_pii(df).collect():
+        assert [r.text[s.start : s.end] for s in r.pii if s.kind == "iban"] == accounts[r.text], r.text
