@@ -107,19 +107,6 @@ def _join_contractions(cp, kind, mark, starts, stops, follows) -> None:
     mark[head[ok] + take[ok]] = True
 
 
-def spaced_words(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words of the byte-level scheme in which a space belongs to the word after it."""
-    kind, mark, starts, stops, follows = _runs(cp, ends)
-    white = follows & (kind[starts] == WHITE)
-    last = stops[white] - 1
-    mark[last] = True
-    glued = last[cp[last] == 32]
-    mark[glued + 1] = False
-    _join_contractions(cp, kind, mark, starts, stops, follows)
-    starts = np.flatnonzero(mark[:-1])
-    return starts, np.append(starts[1:], len(cp))
-
-
 def bare_words(cp: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the scheme that drops white space and keeps each number sign apart."""
     kind, mark, starts, stops, follows = _runs(cp, ends)

@@ -10,78 +10,73 @@ sequences without padding. No worker needs another, and there is no shuffle.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm.bpe import WordTable, chunks, code_points, spaced_words
+from ledgerline.llm.bpe import byte_signs
 from ledgerline.llm.common import mapped, table
 
 CAPACITY, END_ID = 2048, 1
 #: The least exact class is capacity / TAIL; shorter rests are not cut.
 TAIL = 32
+#: Fixed value: the words of the byte-level scheme, written so that runs are never tried again.
+WORDS = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: White space from which on the word pattern would try back too often; such texts go through the library.
+BLANKS = 1 << 16
+_BLANK = re.compile(rf"\s{{{BLANKS}}}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
-    """Ids of whole texts as the tokenizers library gives them, by a table of words met so far."""
+    """Ids of whole texts as the tokenizers library gives them for a byte-level file.
+
+    Where the ids of merged parts rise with the merges' order, as in the public files, a
+    merge's id is its rank; the merge loop of tiktoken then gives the same ids at a fourth
+    of the time. Texts that hold a special token or very much white space at
+    once, and other files, go through the library.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = WordTable(self._make)
-        self.words.emptied = self._empty
-        self._empty()
-
-    def _empty(self) -> None:
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _make(self, words: list[str]) -> list[None]:
-        """Ids of new words, kept in flat arrays that double when full."""
-        found, k = self._library(words), len(self.words.entries)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while k + len(words) > len(self.at):
-            self.at, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.lengths))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        self.at[k : k + len(words)] = self.used + np.cumsum(sizes) - sizes
-        self.lengths[k : k + len(words)] = sizes
-        self.used += total
-        return [None] * len(words)
+        self.ranked = self._ranked(path)
+
+    def _ranked(self, path: str) -> tiktoken.Encoding | None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        ids = spec["model"]["vocab"]
+        merged = [ids["".join(p.split(" ") if isinstance(p, str) else p)] for p in spec["model"]["merges"]]
+        before = spec["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec["normalizer"]
+        extra = [spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")]
+        if not plain or any(extra) or any(a >= b for a, b in zip(merged, merged[1:], strict=False)):
+            return None
+        byte = {sign: b for b, sign in enumerate(byte_signs())}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in ids.items() if t not in self.special}
+        return tiktoken.Encoding(path, pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
-        for group in chunks(texts):
-            plain = [t if not any(s in t for s in self.special) else "" for t in group]
-            cp, ends = code_points(plain)
-            if len(cp):
-                starts, stops = spaced_words(cp, ends)
-                places = self.words.find(cp, starts, stops)
-                sizes = self.lengths[places]
-                upto = np.cumsum(sizes)
-                ids = self.flat[np.repeat(self.at[places] - (upto - sizes), sizes) + np.arange(upto[-1])]
-                edges = np.concatenate([[0], upto])[np.searchsorted(starts, ends)]
+        for text in texts:
+            if self.ranked is None or any(s in text for s in self.special) or (len(text) >= BLANKS and _BLANK.search(text)):
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                ids, edges = np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
-            at = 0
-            for text, p, edge in zip(group, plain, edges.tolist(), strict=True):
-                yield ids[at:edge] if p or not text else np.array(self._library([text])[0], np.uint32)
-                at = edge
+                yield np.array(self.ranked.encode_ordinary(text), np.uint32)
 
 
 @lru_cache(2)
@@ -113,7 +108,9 @@ class Packer:
         at = 0
         for j, size in cut(len(ids), self.capacity, self.tail):
             held = self.open.setdefault(j, [])
-            held.append((doc_id, at, ids[at : at + size], len(ids)))
+            # a piece that waits is copied, so that it does not keep its whole document in memory
+            piece = ids[at : at + size]
+            held.append((doc_id, at, piece if j == 1 else piece.copy(), len(ids)))
             at += size
             if len(held) == j:
                 yield from self._close(self.open.pop(j))

@@ -1,6 +1,8 @@
+import json
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -28,8 +30,26 @@ def test_ids_equal_the_library(real):
     e = packing.Encoder(PATH)
     for text, ids in zip(TEXTS, e.encode(TEXTS), strict=True):
         assert ids.tolist() == real(text), text
-    e.words.bound = 5
-    assert [i.tolist() for t in TEXTS[:99] for i in e.encode([t])] == [real(t) for t in TEXTS[:99]]
+    assert e.ranked is not None
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, " " * 1_000_000, " \n" * 500_000 + "x", "." * 1_000_000, "1" * 300_000, "中" * 300_000], ids=["letter", "space", "white", "sign", "digit", "wide"])
+def test_very_long_runs(real, text):
+    assert next(packing.Encoder(PATH).encode([text])).tolist() == real(text)
+
+
+def test_other_files_go_through_the_library(tmp_path, real):
+    spec = json.loads(Path(PATH).read_text())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "own.json").write_text(json.dumps(spec))
+    e = packing.Encoder(str(tmp_path / "own.json"))
+    assert e.ranked is None and next(e.encode(["word"])).tolist() == real(" word")
+
+
+def test_waiting_pieces_do_not_hold_their_documents():
+    p = packing.Packer(0)
+    list(p.add(1, np.zeros(2048 * 50 + 5, np.uint32)))
+    assert all(ids.base is None for held in p.open.values() for _, _, ids, _ in held)
 
 
 def held(rows, want):
