@@ -19,7 +19,8 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
         around = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         around = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # stored, so that the join back deals out both sides anew and a star's centre can be split
+    least = stored(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     joined = around.join(least, "a")
     if both_ways:
         moved = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -6,9 +6,11 @@ segments differs in at most floor(l * radius / SEGMENTS) bits. The first segment
 that chain, whose budget is 0, are the key of a candidate table; the budgets of the
 longer chains prune candidates before the full Hamming distance is taken.
 
-Only distinct fingerprints are compared. A key that very many distinct fingerprints
-share is not compared pair by pair: its fingerprints are linked through the points at
-distance one around them, of which two within radius 2 share at least one.
+Only distinct fingerprints are compared. A key that many distinct fingerprints share is
+split by the next segment of its chain, whose budget is one bit: fingerprints that agree
+there but for one masked bit meet. What is still crowded lies so close together that
+comparing pairs would cost the square of a group: such fingerprints are linked through
+the points at distance one around them, of which two within radius 2 share at least one.
 """
 
 from __future__ import annotations
@@ -59,11 +61,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), each, "doc_id long, fp long")
 
 
-def _layout(segments: int) -> list[int]:
-    """Masks of the segments, as signed numbers, from the low bits up."""
-    edges = [round(BITS * i / segments) for i in range(segments + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _layout(segments: int, bits: int = BITS) -> list[int]:
+    """Masks of the segments, from the low bits up."""
+    edges = [round(bits * i / segments) for i in range(segments + 1)]
+    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _chain_mask(masks: list[int], start: int, length: int) -> int:
@@ -73,11 +78,38 @@ def _chain_mask(masks: list[int], start: int, length: int) -> int:
     return out
 
 
+def ring_within(differ: list[Column], radius: int, segments: int, starts: dict[int, Column] | None = None) -> Column:
+    """Whether fingerprints within ``radius`` can differ in these bits, and do.
+
+    ``differ`` holds the words of 64 differing bits, low words first. Some chain of l
+    segments from one start on must stay within floor(l * radius / segments) bits for
+    each l, and all segments within the radius. ``starts`` says for which rows a start
+    is asked (all by default).
+    """
+    masks = _layout(segments, 64 * len(differ))
+
+    def count(mask: int) -> Column:
+        parts = [(d, mask >> (64 * k) & (2**64 - 1)) for k, d in enumerate(differ)]
+        out = F.lit(0)
+        for d, m in parts:
+            if m:
+                out = out + F.bit_count(d.bitwiseAND(F.lit(_signed(m))))
+        return out
+
+    ring = F.lit(False)
+    for i in range(segments):
+        chain = starts[i] if starts else F.lit(True)
+        for length in range(1, segments):
+            chain &= count(_chain_mask(masks, i, length)) <= length * radius // segments
+        ring |= chain
+    return ring & (count((1 << (64 * len(differ))) - 1) <= radius)
+
+
 def near_edges(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) over ``distinct`` (fp long, no repeats) that connect all fingerprints within ``radius``.
 
-    Every edge is a pair within the radius or, under crowded keys, two members of one
-    chain of such pairs; two fingerprints within the radius are always connected.
+    Every edge is a pair within the radius or two members of one chain of such pairs; two
+    fingerprints within the radius are always connected.
     """
     if not 1 <= radius <= 2 or segments <= radius:
         raise ValueError("the radius is 1 or 2, with more segments than that")
@@ -85,32 +117,35 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMEN
     exact = max(length for length in range(segments + 1) if budgets[length] == 0)
     masks = _layout(segments)
     fp = F.col("fp")
-    keyed = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), fp.bitwiseAND(F.lit(_chain_mask(masks, i, exact))).alias("key")) for i in range(segments)))).alias("k")).select("fp", "k.i", "k.key")
-    counts = keyed.groupBy("i", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stored(keyed.join(counts, ["i", "key"]), "pigeonring")
-    few = shared.filter(F.col("n") <= crowd)
-    differ = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-
-    def chain(i: int) -> Column:
-        tests = [F.bit_count(differ.bitwiseAND(F.lit(_chain_mask(masks, i, length)))) <= budgets[length] for length in range(exact + 1, segments)]
-        out = F.lit(True)
-        for t in tests:
-            out &= t
-        return out
 
-    ring = F.lit(False)
+    def compared(keyed: DataFrame, key: list[str], label: str) -> tuple[DataFrame, DataFrame]:
+        """(pairs under keys that are not crowded, rows under crowded keys)."""
+        counts = stored(keyed.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1"), label)  # stored, so that the join can be split
+        shared = stored(keyed.join(counts, key), label)
+        few = shared.filter(F.col("n") <= crowd)
+        same = F.col("x.fp") < F.col("y.fp")
+        for c in key:
+            same &= F.col(f"x.{c}") == F.col(f"y.{c}")
+        ring = ring_within([F.col("x.fp").bitwiseXOR(F.col("y.fp"))], radius, segments, {i: F.col("x.i") == i for i in range(segments)})
+        return few.alias("x").join(few.alias("y"), same & ring).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")), shared.filter(F.col("n") > crowd).drop("n")
+
+    heads = F.array(*(F.struct(F.lit(i).alias("i"), fp.bitwiseAND(F.lit(_signed(_chain_mask(masks, i, exact)))).alias("key")) for i in range(segments)))
+    pairs, crowded = compared(distinct.select("fp", F.explode(heads).alias("k")).select("fp", "k.i", "k.key"), ["i", "key"], "pigeonring")
+    # the next segment of the chain may differ in its budget of one bit: rows meet where all but one masked bit agree
+    tails = []
     for i in range(segments):
-        ring |= (F.col("x.i") == i) & chain(i)
-    same = (F.col("x.i") == F.col("y.i")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp"))
-    pairs = few.alias("x").join(few.alias("y"), same & ring & (F.bit_count(differ) <= radius)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    crowded = shared.filter(F.col("n") > crowd).select("fp").distinct()
-    around = F.array(fp, *(fp.bitwiseXOR(F.lit((1 << k) - (1 << 64) if k == 63 else 1 << k)) for k in range(BITS)))
-    balls = crowded.select("fp", F.explode(around).alias("centre")).groupBy("centre").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)
-    least = F.array_min("members")
-    stars = balls.select(least.alias("a"), F.explode("members").alias("b"))
+        head, tail = _chain_mask(masks, i, exact), masks[(i + exact) % segments]
+        bits = [k for k in range(BITS) if tail >> k & 1]
+        tails.append(F.when(F.col("i") == i, F.array(*(F.struct(F.lit(k).alias("masked"), fp.bitwiseAND(F.lit(_signed(head | tail & ~(1 << k)))).alias("key")) for k in bits))))
+    closer, crowded = compared(crowded.select("fp", "i", F.explode(F.coalesce(*tails)).alias("k")).select("fp", "i", "k.masked", "k.key"), ["i", "masked", "key"], "pigeonring-next")
+    around = F.array(fp, *(fp.bitwiseXOR(F.lit(_signed(1 << k))) for k in range(BITS)))
+    balls = crowded.select("fp").distinct().select("fp", F.explode(around).alias("centre"))
+    # a ball holds 65 points at most
+    balls = balls.groupBy("centre").agg(F.collect_set("fp").alias("members")).filter(F.size("members") > 1)
+    stars = balls.select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
     if radius == 1:  # only the centre itself is within distance one of the others
         stars = balls.filter(F.array_contains("members", F.col("centre"))).select(F.col("centre").alias("a"), F.explode("members").alias("b"))
-    return pairs.unionAll(stars.filter("a <> b")).distinct()
+    return pairs.unionAll(closer).unionAll(stars.filter("a <> b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
