@@ -38,6 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables stored since each open :func:`scratch` began, innermost last.
+_OPEN: list[list[DataFrame]] = []
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage.
 
@@ -45,7 +49,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/ledgerline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(made)
+    return made
 
 
 def forget(df: DataFrame) -> None:
@@ -56,25 +63,53 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables stored inside at its end, but those that are handed to what it gives.
+
+    Kept tables pass to the scratch around it, if there is one.
+    """
+    _OPEN.append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for df in _OPEN.pop():
+            if not any(df is k for k in kept):
+                forget(df)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
 def mapped(df: DataFrame, each: Callable, schema: str | StructType) -> DataFrame:
     """``df`` through a function over Arrow batches that are bounded in rows and in bytes.
 
-    Texts may be long and executors small, so the session's batches, which are bounded by
-    many rows alone, are made smaller; a worker holds a few of them at a time.
+    The session bounds the bytes of what it hands over (64 MB unless it is told otherwise);
+    a function sees slices of that, so that texts of few megabytes are taken apart at once.
     """
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from each(batches)
+            yield from each(part for batch in batches for part in _slices(batch))
         finally:
             give_back()
 
     return df.mapInArrow(bounded, schema)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = BATCH_ROWS
+    if batch.num_rows:
+        rows = max(1, min(rows, int(BATCH_BYTES * batch.num_rows / max(1, batch.nbytes))))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def give_back() -> None:
     """Return a worker's free memory to the system: workers are reused and stay beside later stages that need none of it."""
     gc.collect()

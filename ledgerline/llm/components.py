@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import forget, stored
+from ledgerline.llm.common import scratch, stored
 
 
 def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
@@ -35,13 +35,18 @@ def components(edges: DataFrame) -> DataFrame:
     Loops, repeated edges and both directions are allowed; an edge with a null end is
     no edge. No edges give an empty frame. Each node is in exactly one row.
     """
+    with scratch() as keep:
+        return keep(_components(edges))
+
+
+def _components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     before = None
     while True:
         # a fixed point of both operations is a set of stars around least nodes
         signature = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if signature[0] == 0 or signature == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before, last = signature, now
+            both = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            return stored(both, "components")
+        before = signature
         now = stored(_stars(_stars(now, True), False), "edges")
-        forget(last)

@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
+
 from ledgerline.llm import suffix_dedup as sd
 
 
@@ -55,9 +57,49 @@ def test_repeated_words_equal_brute_force(spark):
     assert got == want
     # what each row says of its owner is so
     text = dict(docs)
+    held, order = defaultdict(int), lambda d, at: (d is not None, d or 0, at)
     for r in rows:
-        n = r.end - r.start
-        assert words_of(text[r.doc_id])[r.start : r.end] == words_of(text[r.owner_id])[r.owner_start : r.owner_start + n]
+        n, words = r.end - r.start, words_of(text[r.doc_id])
+        assert words[r.start : r.end] == words_of(text[r.owner_id])[r.owner_start : r.owner_start + n]
+        assert ((r.doc_id, r.start) == (r.owner_id, r.owner_start)) if r.kept else order(r.owner_id, r.owner_start) <= order(r.doc_id, r.start)
+        if r.kept:
+            for i in range(r.start, r.end - sd.MIN_WORDS + 1):
+                held[tuple(words[i : i + sd.MIN_WORDS])] += 1
+    # each repeated window is kept in one place
+    places = defaultdict(int)
+    for _, t in docs:
+        for i in range(len(words_of(t)) - sd.MIN_WORDS + 1):
+            places[tuple(words_of(t)[i : i + sd.MIN_WORDS])] += 1
+    assert held == {w: 1 for w, n in places.items() if n > 1}
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_neighbours_equal_brute_force(spark, partitions):
+    rng = random.Random(partitions)
+    rows = [(rng.choice([5, 5, 5, rng.randrange(60)]), k // 3, k % 3) for k in range(200)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        got = {(r.k, r.a, r.b): (r.before, r.after, (r.before_a, r.before_b) if r.before else None) for r in sd.neighbours(spark.createDataFrame(rows, "k long, a long, b int"), ["k"], ["a", "b"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows.sort()
+    want = {}
+    for x, y, z in zip([None, *rows], rows, [*rows[1:], None], strict=False):
+        before, after = bool(x) and x[0] == y[0], bool(z) and z[0] == y[0]
+        if before or after:
+            want[y] = (before, after, x[1:] if before else None)
+    assert got == want
+
+
+def test_one_of_repeated_rows_keeps_its_words(spark):
+    text = " ".join(f"w{k}" for k in range(80))
+    df = spark.createDataFrame([(1, text, 0, 5, 7)] * 2 + [(None, None, 0, 5, 7)], "doc_id long, text string, n long, gone int, held int")
+    rows = sd.without_repeats(df).collect()
+    assert sorted(r.text for r in rows if r.doc_id) == ["", text] and len(rows) == 3 and rows[0].gone == 5
+    assert sorted(r.kept for r in sd.repeats(df).collect()) == [False, True]
 
 
 def test_every_repeated_window_stays_in_one_place(spark):
