@@ -2,13 +2,17 @@
 
 Rows are ordered by (hash of the text, doc_id). A size-weighted sample of those keys
 gives quantile splitters; ranges between splitters that turn out overfull are sampled
-again and subdivided. Exact sizes of the ranges then place every row in the global
-order, and a row's place among all bytes is its shard: shards are contiguous in the
-order and their bytes near equal, whatever the sample was.
+again and subdivided. Exact sizes of the ranges place every row in the global order.
+
+Equal texts share a shard. Groups of them that are a visible part of a shard are dealt
+out first, the largest to the emptiest shard; all other rows then fill what is left of
+each shard in the order of their keys, so that the bytes of the shards are near equal,
+whatever the sample was. Only a text whose rows exceed a shard's share is cut: into pieces.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 
@@ -19,12 +23,15 @@ from ledgerline.llm.common import stored, table, text_or_empty
 
 #: Bytes that a record costs besides its text.
 OVERHEAD = 16
-#: Rows that a range should hold, sampled keys for each range, the most ranges at first.
+#: Rows that a range should hold, sampled keys for each range, ranges in all (larger tables have larger ranges).
 RANGE_ROWS, SAMPLE_PER_RANGE, MAX_RANGES = 20_000, 32, 8_192
-#: A range with more than so many times its share of rows is subdivided; rounds of that at most.
+#: A range with more than so many times its share of rows is subdivided; rounds of that (what can't be cut then, rows
+#: that are equal in text and id, stays one range: the order within it costs a sort of a task).
 OVERFULL, ROUNDS = 4, 3
-#: Equal texts stay together while they are at most this part of a shard.
-WHOLE_GROUP = 0.005
+#: Equal texts above this part of a shard are dealt out before the other rows: shards / LARGE of them at most.
+LARGE = 0.005
+#: A text that exceeds a shard's share is cut into pieces of this part of it.
+PIECE = 0.25
 
 
 def _bounds(points: list[tuple[int, int | None]], parts: int) -> list[tuple[int, int | None]]:
@@ -58,47 +65,84 @@ def _sampled(keys: DataFrame, points: int, total: int, salt: int) -> list[tuple[
     return sorted(rows, key=lambda r: (r[0], -math.inf if r[1] is None else r[1]))
 
 
+def _dealt(large: list[tuple[int, int, int]], shards: int, total: int) -> tuple[dict[tuple[int, int], int], list[float]]:
+    """Shards of large (h, piece, bytes), the largest to the emptiest; what each shard has left for other rows."""
+    loads = [(0, k) for k in range(shards)]
+    place = {}
+    for h, piece, size in sorted(large, key=lambda x: (-x[2], x[0], x[1])):
+        load, k = heapq.heappop(loads)
+        place[h, piece] = k
+        heapq.heappush(loads, (load + size, k))
+    held = [load for load, _ in sorted(loads, key=lambda x: x[1])]
+    # the level to which the other rows fill all shards that are below it
+    rest, level = total - sum(held), 0.0
+    for n, load in enumerate(sorted(held), 1):
+        level = (rest + sum(sorted(held)[:n])) / n
+        if n < shards and level <= sorted(held)[n]:
+            break
+    return place, [max(0.0, level - load) for load in held]
+
+
 def shard(keys: DataFrame, shards: int = 40, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add ``shard`` (0 to shards-1) and ``slot`` (gapless from 0 in each shard).
 
     ``keys`` has doc_id, size (long, above 0) and h (long, equal for equal texts) and
-    may have more columns; it is read several times, so pass a stored table. Bytes of
-    the shards are equal up to one record and half of WHOLE_GROUP of a shard; equal
-    texts share a shard unless they exceed WHOLE_GROUP of it or lie across ranges of
-    a hot text. Repeated rows are rows like any other; an empty table gives no rows.
+    may have more columns. Equal texts share a shard unless their rows exceed a shard's share of bytes. Bytes of the shards
+    are equal up to about LARGE of a shard and one record, where no text is larger than
+    the others together leave room for. Repeated rows are rows like any other; an empty
+    table gives no rows.
     """
+    keys = stored(keys.withColumn("__row", F.monotonically_increasing_id()), "shard-keys")
     total = keys.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
     n, size = total["n"], total["b"]
-    parts = max(1, min(MAX_RANGES, n // range_rows))
+    share = max(1.0, size / shards)
+    # large groups: shards / LARGE rows at most, and pieces of those above a share: shards / PIECE at most
+    groups = [(r.h, r.b) for r in keys.groupBy("h").agg(F.sum("size").alias("b")).filter(F.col("b") > LARGE * share).collect()]
+    cut = {h: math.ceil(b / (PIECE * share)) for h, b in groups if b > share}
+    spark = keys.sparkSession
+    pieces = spark.createDataFrame([(h, cut.get(h, 1)) for h, _ in groups], "h long, pieces int")
+    named = keys.join(F.broadcast(pieces), "h", "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id", "__row"), F.coalesce("pieces", F.lit(1))).cast("int")))
+    sizes = [(r.h, r.piece, r.b) for r in named.filter("pieces > 1").groupBy("h", "piece").agg(F.sum("size").alias("b")).collect()]
+    place, room = _dealt([(h, 0, b) for h, b in groups if h not in cut] + sizes, shards, size)
+    dealt = spark.createDataFrame([(h, p, k) for (h, p), k in place.items()], "h long, piece int, dealt int")
+    named = named.join(F.broadcast(dealt), ["h", "piece"], "left").drop("pieces", "piece").withColumn("__small", F.when(F.col("dealt").isNull(), F.col("size")).otherwise(0))
+    range_rows = max(range_rows, -(-n // MAX_RANGES))
+    parts = max(1, n // range_rows)
     bounds = _bounds(_sampled(keys, parts * SAMPLE_PER_RANGE, size, 0), parts)
     for k in range(ROUNDS + 1):
-        sized = keys.groupBy(_range_of(bounds).alias("part")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+        ranged = named.withColumn("part", _range_of(bounds))
+        sized = ranged.groupBy("part").agg(F.sum("__small").alias("bytes"), F.count("*").alias("rows")).collect()  # at most about 2 MAX_RANGES rows
         over = {r["part"]: math.ceil(r["rows"] / range_rows) for r in sized if r["rows"] > OVERFULL * range_rows}
         if not over or k == ROUNDS:
             break
         for part, points in _points_of(keys, bounds, over, k + 1).items():
             inner = [points[i * len(points) // over[part]] for i in range(1, over[part])] if points else []
             bounds = sorted({*bounds, *inner}, key=lambda b: (b[0], -math.inf if b[1] is None else b[1]))
-    at_bytes = at_rows = 0
-    offsets = []
+    at, offsets = 0, []
     for r in sorted(sized, key=lambda r: r["part"]):
-        offsets.append((r["part"], at_bytes, at_rows))
-        at_bytes, at_rows = at_bytes + r["bytes"], at_rows + r["rows"]
-    # one row for each range: MAX_RANGES and what subdividing adds bound its size
-    offset = keys.sparkSession.createDataFrame(offsets, "part int, bytes_before bigint, rows_before bigint")
-    order = Window.partitionBy("part").orderBy("h", "doc_id", "size")
+        offsets.append((r["part"], at))
+        at += r["bytes"]
+    offset = spark.createDataFrame(offsets, "part int, bytes_before bigint")  # a row for each range
+    order = Window.partitionBy("part").orderBy("h", "doc_id", "size", "__row")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     group = Window.partitionBy("part", "h")
-    target = size / shards
-    placed = keys.withColumn("part", _range_of(bounds)).join(F.broadcast(offset), "part")
-    placed = placed.withColumns({"__upto": F.sum("size").over(upto), "__rank": F.row_number().over(order) - 1 + F.col("rows_before"), "__group": F.sum("size").over(group)})
-    first = F.min(F.col("__upto") - F.col("size")).over(group)
-    placed = placed.withColumn("__first", first)
-    middle = F.when(F.col("__group") <= WHOLE_GROUP * target, F.col("__first") + F.col("__group") / 2).otherwise(F.col("__upto") - F.col("size") / 2)
-    number = F.least(F.floor((F.col("bytes_before") + middle) / F.lit(target or 1.0)), F.lit(shards - 1)).cast("int")
-    ranked = stored(placed.withColumn("shard", number).drop("part", "bytes_before", "rows_before", "__upto", "__group", "__first"), "shards")
-    starts = ranked.groupBy("shard").agg(F.min("__rank").alias("__start"))  # a row for each shard
-    return ranked.join(F.broadcast(starts), "shard").withColumn("slot", F.col("__rank") - F.col("__start")).drop("__rank", "__start")
+    placed = ranged.join(F.broadcast(offset), "part").withColumns({"__upto": F.sum("__small").over(upto) + F.col("bytes_before"), "__group": F.sum("__small").over(group)})
+    # rows of a small group share its middle and so its shard
+    middle = F.max("__upto").over(group) - F.col("__group") / 2
+    edges = [sum(room[: k + 1]) for k in range(shards - 1)]
+    below = F.array(*map(F.lit, edges)) if edges else F.expr("cast(array() as array<double>)")
+    number = F.coalesce(F.col("dealt"), F.size(F.filter(below, lambda e: e <= F.col("__middle"))))
+    ranked = placed.withColumn("__middle", middle).withColumn("shard", number.cast("int"))
+    ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy("part", "shard").orderBy("h", "doc_id", "size", "__row")) - 1)
+    ranked = stored(ranked.drop("bytes_before", "__upto", "__group", "__middle", "__small", "dealt", "__row"), "shards")
+    # a range has rows of few shards: of those that it runs through and of its large groups
+    counts = sorted((r["shard"], r["part"], r["n"]) for r in ranked.groupBy("shard", "part").agg(F.count("*").alias("n")).collect())
+    starts, before = [], {}
+    for k, part, rows in counts:
+        starts.append((k, part, before.get(k, 0)))
+        before[k] = before.get(k, 0) + rows
+    start = spark.createDataFrame(starts, "shard int, part int, __start bigint")
+    return ranked.join(F.broadcast(start), ["shard", "part"]).withColumn("slot", F.col("__rank") + F.col("__start")).drop("__rank", "__start", "part")
 
 
 def _points_of(keys: DataFrame, bounds: list, over: dict[int, int], salt: int) -> dict[int, list]:
@@ -121,8 +165,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
-    keys = stored(keyed(table(spark, sf_dir, "documents", "doc_id", "text")), "shard-keys")
-    out = shard(keys, 40)
+    out = shard(keyed(table(spark, sf_dir, "documents", "doc_id", "text")), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -33,6 +33,23 @@ def test_bytes_are_near_equal_whatever_is_hot(spark, hot):
     assert max(sizes.values()) < mean + 0.01 * mean + 220 and min(sizes.values()) > mean - 0.01 * mean - 220
 
 
+def test_equal_texts_share_a_shard_unless_they_exceed_it(spark):
+    rng = random.Random(2)
+    texts = [f"{i}" + "y" * rng.randrange(60) for i in range(1500)]
+    for k in range(60):
+        texts += ["z" * k] * rng.randrange(2, 40)
+    texts += ["half a shard " * 3] * 100 + ["more than two shards " * 2] * 700
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = sharding.shard(sharding.keyed(docs), 10, range_rows=50).collect()
+    held(rows, dict(enumerate(texts)), 10)
+    shards, sizes = defaultdict(set), Counter()
+    for r in rows:
+        shards[texts[r.doc_id]].add(r.shard)
+        sizes[r.shard] += r.size
+    assert {t for t, s in shards.items() if len(s) > 1} == {"more than two shards " * 2}
+    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 10 + 200
+
+
 def test_empty_and_tiny_tables_nulls_and_repeats(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sharding.shard(sharding.stored(sharding.keyed(empty), "t")).count() == 0
