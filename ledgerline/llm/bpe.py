@@ -1,15 +1,18 @@
 """Byte-level BPE by contiguous rank arrays, with vectorised word splitting and a word table.
 
 A batch of texts becomes one array of code points; runs of a class are found with
-array operations, words are named by a 64-bit rolling hash, and only words that a
-worker has not met are encoded. A word's parts and the ranks of its adjacent pairs
-stand in two short lists: the least rank is found by scanning, its boundary deleted
-and the two neighbouring ranks refreshed, until no pair can be merged.
+array operations, words are named by a 64-bit rolling hash and compared with the word of
+that name, and only words that a worker has not met are encoded. A word's parts and the
+ranks of its adjacent pairs stand in two short lists: the least rank is found by scanning,
+its boundary deleted and the two neighbouring ranks refreshed, until no pair can be merged.
+Words that are not short keep the pairs in a heap and the parts in a linked list instead,
+so that their time stays near linear; they merge in the same order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
@@ -23,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm.common import mapped, table
 
-#: Code points that are handled together, words that a worker remembers, longest word that is named by its rolling hash.
-CHUNK, REMEMBERED, LONG = 1 << 18, 300_000, 48
+#: Code points that are handled together, words and code points of words that a worker remembers, longest word that is
+#: named by its rolling hash, longest word (in bytes) whose ranks are scanned.
+CHUNK, REMEMBERED, REMEMBERED_SIGNS, LONG, SCANNED = 1 << 18, 300_000, 1 << 23, 48, 256
 OTHER, LETTER, NUMBER, WHITE = range(4)
 #: Unicode white space.
 _WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -151,6 +155,8 @@ class Vocabulary:
         inner, pairs = self.inner, self.merges
         parts = [inner[b] for b in raw]
         parts[-1] = self.last[raw[-1]]
+        if len(parts) > SCANNED:
+            return self._linked(parts)
         none = (1 << 60, 0)
         ranks = [pairs.get(p, none) for p in zip(parts, parts[1:], strict=False)]
         while ranks:
@@ -167,34 +173,85 @@ class Vocabulary:
         return parts
 
 
+    def _linked(self, parts: list[int]) -> list[int]:
+        """The same merges, by a heap of (rank, position) and links between the parts that are left."""
+        pairs, n = self.merges, len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        todo = [(*pairs[p], i, p) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in pairs]
+        heapq.heapify(todo)
+        key = lambda i: (parts[i], parts[after[i]])
+        while todo:
+            _, made, i, pair = heapq.heappop(todo)
+            if after[i] >= n or parts[i] < 0 or key(i) != pair:
+                continue  # one of its parts has gone into another
+            gone = after[i]
+            parts[i], parts[gone], after[i] = made, -1, after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and key(k) in pairs:
+                    heapq.heappush(todo, (*pairs[key(k)], k, key(k)))
+        return [p for p in parts if p >= 0]
+
+
 class WordTable:
-    """Entries of words met so far, by the word's 64-bit name. ``make`` gives the entries of new words."""
+    """Entries of words met so far, by the word's 64-bit name. ``make`` gives the entries of new words.
+
+    A word is compared with the remembered one of its name, so that two words of one name
+    are told apart. The words and their signs are bounded; beyond that the table is emptied.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list], bound: int = REMEMBERED, signs: int = REMEMBERED_SIGNS) -> None:
+        self.make, self.bound, self.signs = make, bound, signs
+        self._empty()
 
-    def __init__(self, make: Callable[[list[str]], list], bound: int = REMEMBERED) -> None:
-        self.make, self.bound = make, bound
+    def _empty(self) -> None:
         self.at: dict[int, int] = {}
         self.entries: list = []
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def _add(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places of new entries for words, which are remembered."""
+        words = [cp[s:e].tobytes().decode("utf-32-le", "surrogatepass") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        base, size = len(self.entries), ends - starts
+        self.entries.extend(self.make(words))
+        while len(self.entries) > len(self.begin):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while self.used + size.sum() > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        new = slice(base, len(self.entries))
+        self.begin[new], self.size[new] = self.used + np.cumsum(size) - size, size
+        self.flat[self.used : self.used + size.sum()] = cp[_spread(starts, size)]
+        self.used += int(size.sum())
+        return np.arange(base, len(self.entries))
 
     def find(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For each word its place in ``entries``; the table is emptied first when it is full."""
-        if len(self.entries) > self.bound:
-            self.at, self.entries = {}, []
-            self.emptied()
+        if len(self.entries) > self.bound or self.used > self.signs:
+            self._empty()
         names, first, inverse = np.unique(word_hashes(cp, starts, ends), return_index=True, return_inverse=True)
         get = self.at.get
         places = np.fromiter((get(x, -1) for x in names.tolist()), np.int64, len(names))
         new = np.flatnonzero(places < 0)
         if len(new):
-            where = first[new]
-            words = [cp[s:e].tobytes().decode("utf-32-le", "surrogatepass") for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            base = len(self.entries)
-            self.entries.extend(self.make(words))
-            places[new] = np.arange(base, base + len(new))
-            self.at.update(zip(names[new].tolist(), range(base, base + len(new)), strict=True))
-        return places[inverse]
+            places[new] = self._add(cp, starts[first[new]], ends[first[new]])
+            self.at.update(zip(names[new].tolist(), places[new].tolist(), strict=True))
+        places, size = places[inverse], ends - starts
+        other = self.size[places] != size
+        same = np.flatnonzero(~other)
+        differ = cp[_spread(starts[same], size[same])] != self.flat[_spread(self.begin[places[same]], size[same])]
+        if differ.any():
+            other[same[np.searchsorted(np.cumsum(size[same]), np.flatnonzero(differ), "right")]] = True
+        if other.any():  # words that share a name with another one
+            places[other] = self._add(cp, starts[other], ends[other])
+        return places
+
 
-    def emptied(self) -> None:
-        """Called when the table has been emptied."""
+def _spread(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the stretches of some sizes, one after the other."""
+    upto = np.cumsum(size)
+    return np.repeat(starts - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -230,7 +287,7 @@ class WordCodec:
 
     def _cut(self, text: str) -> list[tuple[str, int | None]]:
         """Pieces of ordinary text (normalised) and special tokens (with their ids), in order."""
-        if self.special is None or "<|" not in text:
+        if self.special is None or not any(t in text for t in self.vocabulary.special):
             return [(normalised(text), None)]
         out, at = [], 0
         for m in self.special.finditer(text):
