@@ -11,6 +11,8 @@ gaps and the matches alternate, so running sums of their lengths are the offsets
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +55,8 @@ CONTEXT = {
 #: Score before context; near context words add CONTEXT_BONUS. Added kinds need ACCEPT.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.4}
 CONTEXT_BONUS, CONTEXT_CHARS, ACCEPT = 0.1, 60, 0.5
-#: Matches in a block when running sums are formed, which keeps them linear in their number.
-_BLOCK = 256
+#: Items in a block of a fold, signs in a block of a text: both keep the time linear in the size of a text.
+_BLOCK, _SIGNS = 256, 4096
 
 
 def _digits(value: Column) -> Column:
@@ -110,24 +112,41 @@ def _may_hold(kind: str, text: Column) -> Column:
     return text.rlike({"ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]{2}-[0-9]"}[kind])
 
 
-def _located(gaps: Column, found: Column) -> Column:
-    """array<struct<start:int, end:int, value:string>> of all matches, of which there is one at least."""
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _BLOCK).cast("int")), lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+def _folded(items: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], finish: Callable[[Column, Column], Column]) -> Column:
+    """A fold over an array that holds one item at least, block by block.
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + F.char_length(m["gap"])
-        end = start + F.char_length(m["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    ``step`` gives from the place so far and an item the next place and an array of
+    ``kind``; ``finish`` sees the last place and all that was given, in order.
+    """
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int")), lambda b: F.slice(items, b * _BLOCK + 1, F.lit(_BLOCK)))
+    zero = lambda at, k: F.struct(at.alias("at"), F.expr(f"cast(array() as array<{k}>)").alias("out"))
+
+    def one(acc: Column, item: Column) -> Column:
+        at, found = step(acc["at"], item)
+        return F.struct(at.alias("at"), F.concat(acc["out"], found).alias("out"))
 
     def block(acc: Column, b: Column) -> Column:
-        inner = F.aggregate(b, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        inner = F.aggregate(b, zero(acc["at"], kind), one)
         return F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int,end:int,value:string>>>)").alias("out"))
-    return F.aggregate(blocks, zero, block, lambda acc: F.flatten(acc["out"]))
+    return F.aggregate(blocks, zero(F.lit(0), f"array<{kind}>"), block, lambda acc: finish(acc["at"], F.flatten(acc["out"])))
+
+
+def _located(gaps: Column, found: Column) -> Column:
+    """array<struct<start:int, end:int, value:string, around:string>> of all matches, of which there is one at least.
+
+    ``around`` is the match with CONTEXT_CHARS signs on both sides, at most up to the next match.
+    """
+    n = F.size(found)
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), n).alias("gap"), found.alias("value"), F.slice(gaps, F.lit(2), n).alias("behind"))
+
+    def step(at: Column, m: Column) -> tuple[Column, Column]:
+        start = at + F.char_length(m["gap"])
+        end = start + F.char_length(m["value"])
+        around = F.concat(F.right(m["gap"], F.lit(CONTEXT_CHARS)), m["value"], F.left(m["behind"], F.lit(CONTEXT_CHARS)))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), m["value"].alias("value"), around.alias("around")))
+
+    return _folded(pairs, "struct<start:int,end:int,value:string,around:string>", step, lambda _, out: out)
 
 
 def _iban_ends(located: Column) -> Column:
@@ -138,18 +157,16 @@ def _iban_ends(located: Column) -> Column:
         heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
         good = F.filter(heads, lambda h: (F.char_length(F.regexp_replace(h, " ", "")) >= 15) & _mod97(h))
         value = F.coalesce(F.get(good, F.lit(0)), m["value"])
-        return F.when(m["value"].rlike(f"^(?:{_FIXED})"), m).otherwise(F.struct(m["start"].alias("start"), (m["start"] + F.char_length(value)).alias("end"), value.alias("value")))
+        return F.when(m["value"].rlike(f"^(?:{_FIXED})"), m).otherwise(F.struct(m["start"].alias("start"), (m["start"] + F.char_length(value)).alias("end"), value.alias("value"), m["around"].alias("around")))
 
     return F.transform(located, cut)
 
 
-def _accepted(text: Column, kind: str, located: Column) -> Column:
+def _accepted(kind: str, located: Column) -> Column:
     """Of located matches those that validators and score accept: array<struct<kind, start, end, score>>."""
 
     def scored(m: Column) -> Column:
-        left = F.greatest(m["start"] - CONTEXT_CHARS, F.lit(0))
-        around = F.lower(F.substring(text, left + 1, m["end"] - left + CONTEXT_CHARS))
-        near = F.when(around.rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_BONUS).otherwise(0.0)
+        near = F.when(F.lower(m["around"]).rlike(rf"\b(?:{CONTEXT[kind]})"), CONTEXT_BONUS).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.round(F.lit(PRIOR[kind]) + near, 2).alias("score"))
 
     located = _iban_ends(located) if kind == "iban" else located
@@ -173,7 +190,7 @@ def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     m, g = ({k: f"__{p}_{k}" for k in KINDS} for p in "mg")
     out = df.select("*", *(F.when(_may_hold(k, body), F.regexp_extract_all(body, F.lit(PATTERNS[k]), F.lit(0))).alias(m[k]) for k in KINDS))
     out = out.select("*", *(F.when(F.size(m[k]) > 0, F.split(body, PATTERNS[k], -1)).alias(g[k]) for k in KINDS))
-    spans = (F.when(F.size(m[k]) > 0, _accepted(body, k, _located(F.col(g[k]), F.col(m[k])))).otherwise(none) for k in KINDS)
+    spans = (F.when(F.size(m[k]) > 0, _accepted(k, _located(F.col(g[k]), F.col(m[k])))).otherwise(none) for k in KINDS)
     return out.select(*(F.col(f"`{c}`") for c in keep if c != into), F.concat(*spans).alias(into))
 
 
@@ -181,20 +198,29 @@ def redact(df: DataFrame, text: str = "text", pii: str = "pii") -> DataFrame:
     """Replace every span in ``text`` by its kind in brackets; ``pii`` is dropped.
 
     Where spans overlap, the one that starts first (then the longest) names the
-    placeholder and the rest of the union is cut out. A null text stays null.
+    placeholder and the rest of the union is cut out. A null text stays null, an empty
+    one empty; repeated rows are treated alike; an empty table stays empty.
     """
     ordered = F.array_sort(F.transform(F.col(pii), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["neg"]
-        gap = F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = s["start"] >= acc["at"]
-        add = F.when(fresh, F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(F.expr("cast(array() as array<string>)"))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], add).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    masked = F.aggregate(ordered, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.char_length(F.col(text)))))
-    return df.withColumn(text, F.when(F.size(pii) > 0, masked).otherwise(F.col(text))).drop(pii)
+    found = F.size(pii) > 0
+    blocks, spans = F.col("__blocks"), F.col("__spans")
+
+    def cut(start: Column, end: Column) -> Column:
+        """Signs from start to end of a text that is cut into blocks."""
+        first, last = F.floor(start / _SIGNS).cast("int"), F.floor(end / _SIGNS).cast("int")
+        inner = F.substring(F.get(blocks, first), start % _SIGNS + 1, end - start)
+        parts = F.concat(F.array(F.substring(F.get(blocks, first), start % _SIGNS + 1, F.lit(_SIGNS))), F.slice(blocks, first + 2, last - first - 1), F.array(F.coalesce(F.substring(F.get(blocks, last), F.lit(1), end % _SIGNS), F.lit(""))))
+        return F.coalesce(F.when(first == last, inner).otherwise(F.array_join(parts, "")), F.lit(""))
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        add = F.when(s["start"] >= at, F.array(cut(at, s["start"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.greatest(at, -s["neg"]), add
+
+    size = F.char_length(F.col(text))
+    masked = _folded(spans, "string", step, lambda at, out: F.concat(F.array_join(out, ""), F.when(at < size, cut(at, size)).otherwise("")))
+    # the blocks and the spans are formed in a projection of their own, once for each text
+    ready = df.withColumns({"__blocks": F.when(found, F.regexp_extract_all(F.col(text), F.lit(rf"(?s).{{1,{_SIGNS}}}"), F.lit(0))), "__spans": F.when(found, ordered)})
+    return ready.withColumn(text, F.when(found, masked).otherwise(F.col(text))).drop(pii, "__blocks", "__spans")
 
 
 def _listed(spans: Column) -> Column:

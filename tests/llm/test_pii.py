@@ -93,3 +93,16 @@ def test_account_numbers_end_where_their_country_says(spark):
     df = spark.createDataFrame([(t,) for t in accounts], "text string")
     for r in pii.find_pii(df).collect():
         assert [r.text[s.start : s.end] for s in r.pii if s.kind == "iban"] == accounts[r.text], r.text
+
+
+def test_many_spans_in_one_long_text_are_cut_as_brute_force_does(spark):
+    text = "é中" * 3000 + " ".join(f"user{k}@mail.example.com ssn 123-45-{1000 + k % 9000} é" for k in range(20_000)) + "x" * 9000
+    found = pii.find_pii(spark.createDataFrame([(text,)], "text string"))
+    spans = found.first().pii
+    want = [("email", m.start(), m.end()) for m in re.finditer(r"user\d+@mail\.example\.com", text)] + [("ssn", m.start(), m.end()) for m in re.finditer(r"123-45-\d{4}", text)]
+    assert [(s.kind, s.start, s.end) for s in spans] == want
+    parts, at = [], 0
+    for kind, start, end in sorted(want, key=lambda s: s[1]):
+        parts += [text[at:start], f"[{kind.upper()}]"]
+        at = end
+    assert pii.redact(found).first().text == "".join(parts) + text[at:]
