@@ -21,7 +21,8 @@ from ledgerline.llm.common import mapped, stored, table
 from ledgerline.llm.features import hashed_words
 from ledgerline.llm.quality import drawn, held_out, learnable
 
-#: Confirmed and unlabelled texts that are trained on at most (expected; drawn by a hash of the id).
+#: Labelled rows that are trained on at most (expected; drawn by a hash of the id): confirmed ones, and rows of any label
+#: whose label is hidden, which stand for unlabelled text.
 POSITIVES, UNLABELLED = 4_000, 8_000
 #: Bits of a word's hash; confirmed texts that must hold a word (at least and as a part of all), and by how many standard
 #: deviations more than unlabelled ones do; classifiers; steps, rate and decay of their training.
@@ -106,14 +107,14 @@ class Classifiers:
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifiers:
     """Classifiers of confirmed toxic texts and unlabelled ones outside the held-out fold.
 
-    Labels other than 1 serve for the class prior alone. Equal texts count once.
-    Without confirmed texts every score is the least prior.
+    The unlabelled texts are those of labelled rows of both kinds, whose labels are hidden:
+    the class prior, the part of toxic ones among all labels, is that of their mixture.
+    Rows count as often as they stand. Without confirmed texts every score is the least prior.
     """
     known = stored(learnable(labels, "toxic", 4, 2), "labels")
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     chosen = drawn(known.filter("y = 1").select("doc_id"), positives, toxic)
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & ~held_out(4, 2))
-    free = drawn(ids, unlabelled, ids.count(), 1).distinct()
+    free = drawn(known.select("doc_id"), unlabelled, n, 1)
     wanted = chosen.withColumn("p", F.lit(1)).join(free.withColumn("u", F.lit(1)), "doc_id", "full")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
     # the broadcast and what is collected are bounded by positives + unlabelled
     texts = mapped(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", "p", "u"), each, "p int, u int, slots binary").collect()
-    apart = lambda c: [np.frombuffer(s, np.uint32) for s in dict.fromkeys(bytes(r.slots) for r in texts if r[c])]
+    apart = lambda c: [np.frombuffer(s, np.uint32) for s in (bytes(r.slots) for r in texts if r[c])]
     return Classifiers(apart("p"), apart("u"), toxic / max(1, n))
 
 
