@@ -16,6 +16,18 @@ def project_view(runs: DataFrame, script: str, order: str, started: str, ok: Col
     )
 
 
+def script_values(runs: DataFrame) -> DataFrame:
+    """(script, kind, value), each once: paths read and written, names of parameters and notes of each script.
+
+    One row for each value, so that a script that touches very many paths is no one row.
+    """
+    keys = lambda c: F.coalesce(F.json_object_keys(F.to_json(c)), F.expr("cast(array() as array<string>)"))
+    paths = lambda c: F.coalesce(F.transform(c, lambda e: e["path"]), F.expr("cast(array() as array<string>)"))
+    named = F.map_from_arrays(F.array(*map(F.lit, ("input", "output", "parameter", "note"))), F.array(paths("inputs"), paths("outputs"), keys("parameters"), keys("notes")))
+    each = runs.select("script", F.explode(named).alias("kind", "values"))
+    return each.select("script", "kind", F.explode("values").alias("value")).distinct()
+
+
 def latest(rows: DataFrame, keys: list[str], order: list[str], *values: str) -> DataFrame:
     """Per key the values of the row that is last in ``order``, combined before the shuffle."""
     last = F.max_by(F.struct(*values), F.struct(*order)).alias("last")
