@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import digest as dg
-from ledgerline.operators import chain, compare, exports, graph, imports, lineage, maintenance, policy, reports, verify, views
-from ledgerline.recorder import Project, Run, content_digest, describe, sha256_of
-from ledgerline.sources import history, pins
+from ledgerline import rendering
+from ledgerline.operators import chain, compare, exports, facts, graph, imports, lineage, maintenance, policy, reports, verify, views
+from ledgerline.recorder import Project, Run, atomic_write, content_digest, describe, sha256_of
+from ledgerline.sources import history, pins, policy_file
 
 
 def _session() -> SparkSession:
@@ -31,6 +32,12 @@ def _say(df: DataFrame) -> None:
         print(row)
 
 
+def _show_as(df: DataFrame, form: str) -> None:
+    """Print rows as JSON lines, or as YAML documents one after the other, so that no answer is held whole."""
+    for row in df.toJSON().toLocalIterator():
+        print(rendering.to_yaml([json.loads(row)]) if form == "yaml" else row, end="" if form == "yaml" else "\n")
+
+
 class Missing(Exception):
     """There is nothing that could be checked."""
 
@@ -61,7 +68,7 @@ def log(a: argparse.Namespace, spark: SparkSession) -> int:
         hit &= failed
     counted = views.log_counters(runs, hit, failed, a.limit)
     found = runs.filter(hit).withColumn("order", F.struct("file", "position"))
-    _say((views.tail(found, "order", a.limit) if a.limit else found.orderBy("order")).select("script", "run_uid", "run_id", "status", "started_utc", "finished_utc"))
+    _show_as((views.tail(found, "order", a.limit) if a.limit else found.orderBy("order")).select("script", "run_uid", "run_id", "status", "started_utc", "finished_utc"), a.format)
     open_ = views.in_flight(history.starts(recs), runs).count()
     answer = counted.withColumn("unfinished", F.lit(open_)).withColumn("unreadable", F.lit(rows.filter(F.col("parse_state") == history.BAD).count()))
     _say(answer)
@@ -141,9 +148,14 @@ def resources(a: argparse.Namespace, spark: SparkSession) -> int:
     _, _, runs = _runs(spark, a.log)
     last = runs.filter(F.col("resources.wall_seconds").isNotNull() & (F.col("script") == a.script)).agg(F.max_by("resources", F.struct("file", "position")).alias("r")).filter("r is not null")
     asked = maintenance.resource_request(F.col("r.max_rss_bytes"), F.col("r.max_vms_bytes"), F.col("r.wall_seconds"), a.margin)
-    found = last.select(*(c.alias(n) for n, c in asked.items()))
-    _say(found)
-    return 0 if found.count() else 2
+    millicores = F.ceil(F.col("r.cpu_seconds") / F.greatest(F.col("r.wall_seconds"), F.lit(1e-9)) * a.margin * 1000)
+    found = last.select(*(c.alias(n) for n, c in asked.items()), millicores.alias("millicores"))
+    one = found.first()
+    if a.format == "json":
+        _say(found)
+    elif one:
+        print(rendering.request(one.asDict(), a.format), end="")
+    return 0 if one else 2
 
 
 def _now(spark: SparkSession, names: list[str], root: Path) -> DataFrame:
@@ -161,12 +173,8 @@ def _now(spark: SparkSession, names: list[str], root: Path) -> DataFrame:
     return spark.createDataFrame(rows, "name string, digest string, whole string, size bigint")
 
 
-def verify_(a: argparse.Namespace, spark: SparkSession) -> int:
-    root = Path(a.root)
-    named = [Path(p) for p in a.paths] or [root]
-    absent = [p for p in named if not p.exists()]
-    skipped = {".git", ".hg", ".svn", ".venv", "venv", "env", "build", "dist", "node_modules", "site-packages", "__pycache__", ".tox"}
-    files = sorted({f for p in named for f in ([p] if p.is_file() else p.rglob("*")) if f.is_file() and not skipped & set(f.parts)})
+def _pinned(spark: SparkSession, files: list[Path], root: Path) -> tuple[DataFrame, DataFrame]:
+    """(statuses of all files, their pinned inputs with a status each)."""
     heads = []
     for f in files:
         with open(f, "rb") as h:
@@ -177,7 +185,18 @@ def verify_(a: argparse.Namespace, spark: SparkSession) -> int:
     pin_rows = found.join(spark.createDataFrame(bodies, "artifact string, body_now string"), "artifact", "left").select("artifact", "pin_no", "declared", F.size("entries").alias("carried"), F.col("fields")["body"].alias("body"), "body_now")
     entries = found.select("artifact", "pin_no", F.explode("entries").alias("e")).select("artifact", "pin_no", "e.name", F.col("e.digest").alias("pinned"))
     now = _now(spark, [r.name for r in entries.select("name").distinct().collect() if not r.name.startswith(("/", "<external>/")) and ".." not in r.name], root)
-    statuses = verify.artifact_status(pin_rows, verify.check_inputs(entries, now), spark.createDataFrame([(f.as_posix(),) for f in files], "artifact string")).cache()
+    checked = verify.check_inputs(entries, now).cache()
+    statuses = verify.artifact_status(pin_rows, checked, spark.createDataFrame([(f.as_posix(),) for f in files], "artifact string")).cache()
+    return statuses, checked
+
+
+def verify_(a: argparse.Namespace, spark: SparkSession) -> int:
+    root = Path(a.root)
+    named = [Path(p) for p in a.paths] or [root]
+    absent = [p for p in named if not p.exists()]
+    skipped = {".git", ".hg", ".svn", ".venv", "venv", "env", "build", "dist", "node_modules", "site-packages", "__pycache__", ".tox"}
+    files = sorted({f for p in named for f in ([p] if p.is_file() else p.rglob("*")) if f.is_file() and not skipped & set(f.parts)})
+    statuses, _ = _pinned(spark, files, root)
     _say(statuses.filter(F.col("status") != verify.NO_PIN).orderBy("artifact"))
     report = verify.verify_report(statuses, len(absent))
     _say(report)
@@ -195,32 +214,48 @@ def chain_(a: argparse.Namespace, spark: SparkSession) -> int:
 
 
 def gate(a: argparse.Namespace, spark: SparkSession) -> int:
-    wanted = json.loads(Path(a.policy).read_text())["rules"]
-    if not wanted or any(set(r) != {"rule", "why"} or not r["why"] for r in wanted):
-        raise Missing("each rule of a policy has a name and a reason, and nothing else")
-    rows, _, runs = _runs(spark, a.log)
-    found = policy.assess(policy.answers(runs, [r["rule"] for r in wanted]), ["rule"]).cache()
-    _say(found)
-    outcomes = {r.outcome for r in found.collect()}
+    if a.emit_policy:
+        print(policy_file.emitted(), end="")
+        return 0
+    if not a.policy:
+        raise Missing("a policy is needed")
+    try:
+        wanted = policy_file.load(a.policy)
+    except policy_file.PolicyError as error:
+        raise Missing(str(error)) from error
+    rows, recs, runs = _runs(spark, a.log)
+    names = [r for r, _ in wanted]
+    if "inputs_verify" in names:
+        paths = [r.path for r in history.io_entries(runs).filter("role = 'input'").select("path").distinct().collect()]
+        runs = policy.with_inputs(runs, _now(spark, paths, Path(a.root)).select(F.col("name").alias("path"), F.col("whole").alias("digest")))
+    answered = policy.answers(runs, names).cache()
+    found = policy.assess(answered, ["rule"]).join(spark.createDataFrame(wanted, "rule string, why string"), "rule", "right").cache()
+    _say(found.orderBy("rule"))
+    _say(policy.reasons(answered).orderBy("rule", "verdict"))
+    outcomes = {r.outcome or "CANNOT_CHECK" for r in found.collect()}
     bad = rows.filter(F.col("parse_state") == history.BAD).count()
-    return 1 if "VIOLATED" in outcomes else 2 if bad or outcomes != {"MET"} else 0
+    code = 1 if "VIOLATED" in outcomes else 2 if bad or outcomes != {"MET"} else 0
+    print(json.dumps(rendering.payload("gate", outcome={0: "MET", 1: "VIOLATED", 2: "CANNOT_CHECK"}[code], rules=len(names), unreadable=bad, unfinished=views.in_flight(history.starts(recs), runs).count())))
+    return code
 
 
 def show(a: argparse.Namespace, spark: SparkSession) -> int:
     _, recs, runs = _runs(spark, a.log)
     if a.target:
         found = _pick(runs, a.target, a.limit)
-        _say(runs.filter(F.col("address").isin(found)).drop("parameters", "notes", "steps", "terminal_log", "inputs_not_in_pin", "refused_late_inputs"))
+        _show_as(runs.filter(F.col("address").isin(found)).drop("parameters", "notes", "steps", "terminal_log", "inputs_not_in_pin", "refused_late_inputs"), a.format)
         return 0 if found else 1
     ordered = runs.withColumn("order", F.struct("file", "position"))
     _say(views.project_view(ordered, "script", "order", "started_utc", F.col("status") == "ok", F.col("status").isNotNull() & (F.col("status") != "ok")).orderBy("script"))
-    outputs = views.latest(history.io_entries(runs).filter("role = 'output'"), ["path"], ["produced_at", "pos"], "address", "size", "sha256")
+    outputs = views.latest(history.io_entries(runs).filter("role = 'output'"), ["path"], ["produced_at", "pos"], "address", "size", "sha256", "content_sha256")
     if a.stale:
-        now = _now(spark, [r.path for r in outputs.select("path").collect()], Path(a.root)).select(F.col("name").alias("path"), "size", F.lit(None).cast("string").alias("digest"))
+        own = F.col("whole") if a.rehash else F.lit(None).cast("string")
+        now = _now(spark, [r.path for r in outputs.select("path").collect()], Path(a.root)).select(F.col("name").alias("path"), "size", own.alias("digest"))
         ins = history.io_entries(runs).filter("role = 'input'").select(F.col("address").alias("run"), "path", F.coalesce("content_sha256", "sha256").alias("digest"))
         current = now.unionByName(_now(spark, [r.path for r in ins.select("path").distinct().collect()], Path(a.root)).select(F.col("name").alias("path"), "size", F.col("whole").alias("digest"))).groupBy("path").agg(F.max("size").alias("size"), F.max("digest").alias("digest"))
-        states = views.staleness(outputs.select("path", F.col("address").alias("run"), "size", F.lit(None).cast("string").alias("digest")), ins, current)
+        states = views.staleness(outputs.select("path", F.col("address").alias("run"), "size", (F.coalesce("content_sha256", "sha256") if a.rehash else F.lit(None).cast("string")).alias("digest")), ins, current).cache()
         _say(states.orderBy("path"))
+        _say(states.groupBy("state").agg(F.count("*").alias("n")).orderBy("state"))
         return 1 if a.exit_code and states.filter(F.col("state").isin(views.STALE, views.GONE, views.MODIFIED)).count() else 0
     _say(outputs.orderBy("path"))
     _say(views.in_flight(history.starts(recs), runs).select("run_uid", "script", "started_utc", "host", "pid"))
@@ -233,16 +268,23 @@ def report(a: argparse.Namespace, spark: SparkSession) -> int:
         raise Missing(f"{path} is no file")
     _, _, runs = _runs(spark, a.log)
     outs = history.io_entries(runs).filter("role = 'output'").select(F.col("address").alias("run"), "path", "sha256", F.struct("produced_at", "pos").alias("order"))
-    found = reports.find_match(outs, spark.createDataFrame([(a.artifact, sha256_of(path))], "path string, sha256 string"))
-    _say(found)
-    return 0 if found.first()["how"] != "none" else 2
+    match = reports.find_match(outs, spark.createDataFrame([(a.artifact, sha256_of(path))], "path string, sha256 string")).first()
+    run = facts.run_view(runs.filter(F.col("address") == match["run"])).first() if match["run"] else None
+    status, inputs = _pinned(spark, [path], Path(a.root))
+    one = status.first()
+    print(rendering.page(a.artifact, {"run": [match.asDict(), *([run.asDict()] if run else [])], "verdict": [one.asDict()], "inputs": [r.asDict() for r in inputs.orderBy("name").toLocalIterator()]}), end="")
+    return 1 if one["status"] in (verify.STALE, verify.GONE, verify.ALTERED) else 0 if one["status"] == verify.OK else 2
 
 
 def export(a: argparse.Namespace, spark: SparkSession) -> int:
     _, _, runs = _runs(spark, a.log)
     io = history.io_entries(runs).select(F.col("address").alias("run"), "role", "path", F.coalesce("sha256", "content_sha256").alias("digest"), F.monotonically_increasing_id().alias("order"))
-    facts = runs.select(F.col("address").alias("run"), "script", "started_utc", "finished_utc")
-    _say(exports.prov_document(facts, io) if a.format == "prov" else exports.crate_graph(facts, io))
+    said = runs.select(F.col("address").alias("run"), "script", "started_utc", "finished_utc")
+    graph_of = exports.prov_document(said, io) if a.format == "prov" else exports.crate_graph(said, io)
+    if a.out:
+        atomic_write(Path(a.out), "".join(f"{row}\n" for row in graph_of.toJSON().toLocalIterator()).encode())
+    else:
+        _say(graph_of)
     return 0
 
 
@@ -346,10 +388,13 @@ def parser() -> argparse.ArgumentParser:
     p["env"].add_argument("--compare", required=True)
     p["resources"].add_argument("script")
     p["resources"].add_argument("--margin", type=float, default=1.5)
+    p["resources"].add_argument("--format", choices=("json", "tsv", "slurm", "k8s"), default="json")
     p["report"].add_argument("artifact")
     p["show"].add_argument("target", nargs="?")
     p["show"].add_argument("--limit", type=int, default=1)
-    for flag in ("--stale", "--exit-code"):
+    for one in ("log", "show"):
+        p[one].add_argument("--format", choices=("jsonl", "yaml"), default="jsonl")
+    for flag in ("--stale", "--rehash", "--exit-code"):
         p["show"].add_argument(flag, action="store_true")
     p["exec"].add_argument("--name")
     for flag in ("--input", "--output"):
@@ -360,10 +405,12 @@ def parser() -> argparse.ArgumentParser:
     p["capture"].add_argument("rest", nargs="*")
     p["capture"].add_argument("--name")
     p["export"].add_argument("--format", choices=("prov", "ro-crate"), default="ro-crate")
+    p["export"].add_argument("--out")
     p["prune"].add_argument("--older-than", default="30d")
     p["prune"].add_argument("--other-hosts", action="store_true")
     p["prune"].add_argument("--dry-run", action="store_true")
-    p["gate"].add_argument("--policy", required=True)
+    p["gate"].add_argument("--policy")
+    p["gate"].add_argument("--emit-policy", action="store_true")
     return top
 
 

@@ -70,12 +70,45 @@ def _finished_ok() -> Column:
     return verdict(F.col("status") != "ok", F.col("status").isNull())
 
 
+@rule("inputs_verify", "are the inputs still what they were?")
+def _inputs_verify() -> Column:
+    """What was found when the inputs were looked at again; see :func:`with_inputs`."""
+    return F.coalesce(F.col("inputs_verdict"), F.lit(CANNOT_CHECK))
+
+
+#: For each rule what a verdict rests on, for the reasons of an answer.
+REASONS = {
+    "clean_tree": ("the tree differs from its commit", "git status was not captured"),
+    "commit_recorded": ("no commit is recorded", "git status was not captured"),
+    "no_unregistered_reads": ("files were read that are not registered", "reads were not watched, or the watch was cut short"),
+    "outputs_pin_inputs": ("outputs without inputs", "no outputs are recorded"),
+    "environment_captured": ("packages were not recorded", "it is not known what was recorded"),
+    "finished_ok": ("the run failed", "no status is recorded"),
+    "inputs_verify": ("an input has changed", "an input can't be compared, or there is none"),
+}
+
+
+def with_inputs(runs: DataFrame, current: DataFrame) -> DataFrame:
+    """``runs`` with inputs_verdict, for the rule inputs_verify; ``current``: path, digest, each path once."""
+    entries = runs.select("address", F.explode("inputs").alias("e")).select(F.col("address").alias("run"), "e.path", "e.kind", F.coalesce("e.content_sha256", "e.sha256").alias("digest"))
+    found = inputs_verify(entries, current).select(F.col("run").alias("__run"), F.col("verdict").alias("inputs_verdict"))
+    return runs.join(found, F.col("address") == F.col("__run"), "left").drop("__run")
+
+
+def reasons(answered: DataFrame) -> DataFrame:
+    """(rule, verdict, reason, n) of the verdicts that are not MET."""
+    said = F.create_map(*(x for n, why in REASONS.items() for v, w in zip((VIOLATED, CANNOT_CHECK), why, strict=True) for x in (F.lit(f"{n} {v}"), F.lit(w))))
+    return answered.filter(F.col("verdict") != MET).groupBy("rule", "verdict").agg(F.count("*").alias("n")).select("rule", "verdict", said[F.concat_ws(" ", "rule", "verdict")].alias("reason"), "n")
+
+
 def answers(runs: DataFrame, rules: Iterable[str] | None = None, keep: Iterable[str] = ()) -> DataFrame:
     """(keep..., rule, verdict): all rules over all runs in one pass."""
     names = list(rules) if rules is not None else list(RULES)
     unknown = [n for n in names if n not in RULES]
     if unknown or len(set(names)) != len(names) or not names:
         raise ValueError(f"unknown, repeated or no rules: {unknown or names}")
+    if "inputs_verify" in names and "inputs_verdict" not in runs.columns:
+        runs = runs.withColumn("inputs_verdict", F.lit(CANNOT_CHECK))  # nobody has looked at the inputs
     return unpivoted(runs, {n: RULES[n].answer() for n in names}, keep)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -17,11 +18,17 @@ _ENTRY = re.compile(r"^ {4}([0-9a-f]{16}|MISSING) {2}(.+)$")
 _COUNT = re.compile(r"^ {2}inputs \((\d+)\), (?:sha256|content digest):$")
 _FIELD = re.compile(r"^ {2}(\w+) +: (.*)$")
 
+#: The key under which a JSON file carries its pin, as a list of the pin's lines.
+JSON_KEY = "provenance"
+_JSON_LINES = re.compile(rf'"{JSON_KEY}"\s*:\s*(\[[^\]]*\])')
+
 PIN_TYPE = "fields map<string,string>, declared int, entries array<struct<digest:string,name:string>>, body_at int"
 
 
 def parse(head: str) -> list[dict]:
     """All pins of a file's head; none unless the first opens within FIRST_LINES lines."""
+    if head.lstrip().startswith("{"):
+        return _json_pin(head)
     kept = head.split("\n")
     lines, found, k = [x.rstrip("\r") for x in kept], [], 0
     while k < len(lines):
@@ -52,6 +59,18 @@ def parse(head: str) -> list[dict]:
     return found
 
 
+def _json_pin(head: str) -> list[dict]:
+    """The pin that a JSON object carries; what it covers can't be told from its text, so it has no body."""
+    found = _JSON_LINES.search(head)
+    try:
+        lines = json.loads(found[1]) if found else []
+    except ValueError:
+        return []
+    if not lines or not all(isinstance(x, str) for x in lines):
+        return []
+    return [pin | {"body_at": 0} for pin in parse("\n".join([*(x.strip("\n") for x in lines), ""]))[:1]]
+
+
 def pins_of(heads: DataFrame, key: str, head: str, keep: list[str] = ()) -> DataFrame:
     """(key, keep..., pin_no, fields, declared, entries, body_at): a row for each pin; none for files without. body_at is the byte at which what follows the pin begins."""
     names = [key, *keep]
