@@ -24,8 +24,10 @@ from ledgerline.llm.common import mapped, stored, table
 from ledgerline.llm.components import components
 
 COSINE = 0.98
-#: Sampled vectors that the index is fitted on at most (expected), the most lists, values in a subspace, rows of a list that a task holds.
-SAMPLE, MAX_LISTS, SUBSPACE, CROWD = 16_384, 1_024, 4, 2_048
+#: Sampled vectors that the index is fitted on at most (expected), values in a subspace, rows of a list that a task holds.
+SAMPLE, SUBSPACE, CROWD = 16_384, 4, 2_048
+#: Sampled vectors that a list is fitted on at least: lists grow with the root of the vectors' number as far as the sample allows.
+FITTED = 4
 #: Codewords of a subspace: few, as a table of them is made for each query and list.
 WORDS = 64
 _SLACK = 1e-6
@@ -135,7 +137,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 def _links_of(classes: DataFrame, dim: int, cosine: float, crowd: int, sample: int) -> DataFrame:
     """(links, a, b): with links, a class and its linked rows in one part of a list; without, an edge of classes."""
     n = classes.count()
-    lists = max(1, min(MAX_LISTS, math.isqrt(n)))
+    lists = max(1, min(sample // FITTED, math.isqrt(n)))
     some = classes.filter(F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / n)))).select("v")
     fitted = pa.array([r.v for r in some.collect()] or [classes.first().v], pa.binary())  # bounded by ``sample``
     index = Index.fit(_units(fitted, dim), lists, cosine)
@@ -203,9 +205,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, crowd: int = CRO
     themselves; vectors of different lengths never link. Equal vectors are compared
     once; repeated rows count as rows; an empty table gives no rows.
     """
-    rows = stored(vectors.select("vec_id", "label", "embedding", _valid().alias("sound")).withColumn("cid", F.when(F.col("sound"), F.xxhash64("label", "embedding"))), "vectors")
-    sound = rows.filter("sound").groupBy("cid").agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    classes = stored(_packed(sound).withColumn("dim", (F.octet_length("embedding") / 4).cast("int")).withColumnRenamed("embedding", "v"), "classes")
+    rows = stored(vectors.select("vec_id", "label", "embedding", _valid().alias("sound")), "vectors")
+    # equal vectors by their values: a hash alone could take two for one
+    same = ["label", "embedding"]
+    equal = stored(rows.filter("sound").groupBy(*same).agg(F.count("*").alias("n"), F.min("vec_id").alias("first_id")), "equal")
+    named = stored(equal.withColumn("cid", F.monotonically_increasing_id()), "named")
+    classes = stored(_packed(named).withColumn("dim", (F.octet_length("embedding") / 4).cast("int")).withColumnRenamed("embedding", "v"), "classes")
+    members = rows.filter("sound").select("vec_id", *same).join(named.select("cid", *same), same).select("vec_id", "cid")
+    rows = stored(members.unionAll(rows.filter(~F.col("sound")).select("vec_id", F.lit(None).cast("bigint"))), "members")
     found = None
     for dim in sorted(r.dim for r in classes.select("dim").distinct().collect()):
         part = _links_of(classes.filter(F.col("dim") == dim).select("label", "cid", "n", "v"), dim, cosine, crowd, sample)
