@@ -205,7 +205,7 @@ def verify_(a: argparse.Namespace, spark: SparkSession) -> int:
 
 def chain_(a: argparse.Namespace, spark: SparkSession) -> int:
     rows, _, _ = _runs(spark, a.log)
-    linked = chain.links(history.chain_lines(rows)).cache()
+    linked = chain.links(history.chain_lines(rows), block=F.col("position.block")).cache()
     _say(linked.filter(~F.col("status").isin(chain.HOLDS, chain.HOLDS_TRIVIAL)).select("position", "status").orderBy("position").limit(200))
     found = chain.report(linked)
     _say(found)

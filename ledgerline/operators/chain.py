@@ -46,24 +46,34 @@ def writer_of(version: Column, readable: Column) -> Column:
     return F.when(~readable, UNREADABLE_WRITER).when(version.isNull() | (F.size(numbers) == 0), UNSTATED).when(old, PRE_CHAIN).otherwise(CAPABLE)
 
 
-def links(lines: DataFrame, chain: str = "chain", position: str = "position") -> DataFrame:
+def links(lines: DataFrame, chain: str = "chain", position: str = "position", block: Column | None = None) -> DataFrame:
     """Lines with predecessor digest and status.
 
     ``lines``: chain, position, digest, digest_without_cr (null where the line has no carriage
-    return at its end), claim (null, GENESIS or a digest), readable, version. A chain's rows
-    are walked in order in one window: a chain is one file with one writer.
+    return at its end), claim (null, GENESIS or a digest), readable, version. ``block`` cuts a
+    chain into stretches that follow each other in the order of positions, such as the blocks
+    of a file: each is walked by itself, and what it needs of those before it, their last
+    line and whether the chain had started, is one row for each block.
     """
-    order = Window.partitionBy(chain).orderBy(position)
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = lambda c: F.lag(c).over(order)
     claim = F.when(F.col("claim").isNull(), NONE).when(F.col("claim") == GENESIS, GENESIS).otherwise(DIGEST)
-    out = lines.select("*", claim.alias("claim_kind"), prior("digest").alias("before"), prior("digest_without_cr").alias("before_without_cr"), prior("readable").alias("before_readable"), F.row_number().over(order).alias("__n"))
-    out = out.withColumn("started", F.max(F.col("claim_kind") != NONE).over(so_far))
-    predecessor = F.when(F.col("__n") == 1, NONE_FIRST).when(F.col("before_readable"), READABLE).otherwise(UNREADABLE)
+    out = lines.select("*", claim.alias("claim_kind"), (block if block is not None else F.lit(0)).alias("__block"))
+    order = Window.partitionBy(chain, "__block").orderBy(position)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = F.struct("digest", "digest_without_cr", "readable")
+    ends = out.groupBy(F.col(chain).alias("__chain"), F.col("__block").alias("__of")).agg(F.max_by(line, position).alias("__last"), F.max(F.col("claim_kind") != NONE).alias("__claims"))
+    blocks = Window.partitionBy("__chain").orderBy("__of")
+    earlier = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__chain", "__of", F.lag("__last").over(blocks).alias("__prior"), F.coalesce(F.max("__claims").over(earlier), F.lit(False)).alias("__begun"))
+    out = out.withColumns({"__before": F.lag(line).over(order), "__started": F.max(F.col("claim_kind") != NONE).over(so_far)})
+    out = out.join(ends, F.col(chain).eqNullSafe(F.col("__chain")) & (F.col("__block") == F.col("__of")))
+    out = out.withColumn("__before", F.coalesce("__before", "__prior")).withColumn("started", F.col("__started") | F.col("__begun"))
+    out = out.withColumns({"before": F.col("__before.digest"), "before_without_cr": F.col("__before.digest_without_cr"), "before_readable": F.col("__before.readable")})
+    predecessor = F.when(F.col("__before").isNull(), NONE_FIRST).when(F.col("before_readable"), READABLE).otherwise(UNREADABLE)
     agreement = F.when(F.col("claim_kind") != DIGEST, NOT_APPLICABLE).when(F.col("claim") == F.col("before"), MATCHES).otherwise(DIFFERS)
     translated = (F.col("claim_kind") == DIGEST) & (F.col("claim") != F.col("before")) & (F.col("claim") == F.col("before_without_cr"))
     status = F.when(F.coalesce(translated, F.lit(False)), UNCHECKABLE).otherwise(classify(F.col("claim_kind"), predecessor, agreement, writer_of(F.col("version"), F.col("readable")), F.col("started")))
-    return out.withColumn("translated", F.coalesce(translated, F.lit(False))).withColumn("status", status).drop("__n", "before_without_cr", "before_readable")
+    done = out.withColumn("translated", F.coalesce(translated, F.lit(False))).withColumn("status", status)
+    return done.drop("__block", "__chain", "__of", "__prior", "__begun", "__before", "__started", "before_without_cr", "before_readable")
 
 
 def report(linked: DataFrame, by: list[str] | None = None) -> DataFrame:

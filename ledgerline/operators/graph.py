@@ -13,6 +13,8 @@ def _cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         return df.cache()
     path = f"{shared.rstrip('/')}/ledgerline/walk-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -26,7 +28,7 @@ def walk(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> Da
     have ``beyond`` true. Cycles end, as a node is followed once. Each round joins the
     edges with the last round's nodes and takes away what is known.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = _cut(edges.select("src", "dst").distinct())  # once, not in every round
     reached = _cut(seeds.select("node").distinct().withColumn("depth", F.lit(1)))
     frontier, rounds, depth = reached, [reached], 1
     while max_depth is None or depth <= max_depth:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLVABLE, UNSEQUENCED, ORPHAN = "resolvable", "unsequenced", "orphan"
@@ -30,21 +30,34 @@ def resolve(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     return found.select("input", "dst", F.col("latest.src").alias("src"), kind.alias("class"))
 
 
-def resolve_ordered(producers: DataFrame, consumers: DataFrame, stripe: int = 4096) -> DataFrame:
+def resolve_ordered(producers: DataFrame, consumers: DataFrame, stripes: int = 256, sample: int = 20_000) -> DataFrame:
     """As :func:`resolve`, for inputs of one digest each that none of its own run's outputs bears.
 
     The as-of step is a running maximum over time in each digest's rows, so that digests with
-    many producers and many consumers don't multiply. A digest's rows stand in one window.
+    many producers and many consumers don't multiply. Time is cut into stripes at quantiles
+    of a sample, and what a digest's earlier stripes hold is one row each: a digest that very
+    many runs share is walked by as many tasks as there are stripes. Inputs without a digest
+    meet nothing and stand in no window.
     """
-    from pyspark.sql import Window
-
     made = producers.select("digest", "at", F.lit(0).alias("side"), F.struct("at", "src").alias("made"), F.lit(None).alias("input"), F.lit(None).alias("dst"))
-    read = consumers.select("digest", "at", F.lit(1).alias("side"), F.lit(None).cast(made.schema["made"].dataType).alias("made"), "input", "dst")
-    seen = Window.partitionBy("digest").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("digest")
-    both = made.unionByName(read).withColumn("latest", F.max("made").over(seen)).withColumn("n", F.count("made").over(whole))
-    kind = F.when(F.col("latest").isNotNull(), RESOLVABLE).when((F.col("n") > 0) & F.col("digest").isNotNull(), UNSEQUENCED).otherwise(ORPHAN)
-    return both.filter("side = 1").select("input", "dst", F.when(F.col("digest").isNotNull(), F.col("latest.src")).alias("src"), kind.alias("class"))
+    known = consumers.filter("digest is not null")
+    read = known.select("digest", "at", F.lit(1).alias("side"), F.lit(None).cast(made.schema["made"].dataType).alias("made"), "input", "dst")
+    times = made.select("at").unionAll(read.select("at"))
+    n = times.count()
+    picked = sorted(r.at for r in times.sample(min(1.0, sample / max(1, n)), 7).collect() if r.at is not None)  # about ``sample`` values
+    edges = sorted({picked[i * len(picked) // stripes] for i in range(1, stripes)}) if picked and n > stripes else []
+    stripe = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("at"))) if edges else F.lit(0)
+    both = made.unionByName(read).withColumn("stripe", stripe)
+    seen = Window.partitionBy("digest", "stripe").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("d").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    held = both.groupBy(F.col("digest").alias("d"), F.col("stripe").alias("s")).agg(F.max("made").alias("most"), F.count("made").alias("made_here"))
+    held = held.withColumns({"earlier": F.max("most").over(before), "n": F.sum("made_here").over(Window.partitionBy("d"))}).select("d", "s", "earlier", "n")
+    walked = both.withColumn("latest", F.max("made").over(seen)).filter("side = 1")
+    walked = walked.join(held, (F.col("digest") == F.col("d")) & (F.col("stripe") == F.col("s"))).withColumn("latest", F.coalesce("latest", "earlier"))
+    kind = F.when(F.col("latest").isNotNull(), RESOLVABLE).when(F.col("n") > 0, UNSEQUENCED).otherwise(ORPHAN)
+    found = walked.select("input", "dst", F.col("latest.src").alias("src"), kind.alias("class"))
+    alone = consumers.filter("digest is null").select("input", "dst", F.lit(None).cast(found.schema["src"].dataType).alias("src"), F.lit(ORPHAN).alias("class"))
+    return found.unionAll(alone)
 
 
 def counts(resolved: DataFrame) -> DataFrame:

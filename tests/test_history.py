@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +122,32 @@ def test_diff_of_two_runs_tells_differences_from_what_is_not_known(spark, projec
     assert got["inputs"] == got["outputs"] == got["parameters"] == "CHANGED" and got["code"] == "NOT_COMPARABLE" and got["status"] == "SAME" and len(got) == 8
     same = {r.dimension: r.verdict for r in reports.diff_runs(runs, a, a).collect()}
     assert "CHANGED" not in same.values()
+
+
+@pytest.mark.parametrize("cut", [1, 3, 7, 1000])
+def test_chains_cut_into_blocks_are_those_walked_whole(spark, cut):
+    rng = random.Random(cut)
+    rows, before = [], None
+    for c in ("a", "b", None):
+        for k in range(60):
+            own = f"{c}{k}"
+            claim = rng.choice([None, "GENESIS", before, before, before, "other"])
+            rows.append((c, k, own, f"{own}-cr" if rng.random() < 0.2 else None, claim, rng.random() < 0.8, rng.choice([None, "0.5.0", "0.6.1"])))
+            before = rng.choice([own, f"{own}-cr"])
+    df = spark.createDataFrame(rows, "chain string, position int, digest string, digest_without_cr string, claim string, readable boolean, version string")
+    of = lambda found: sorted((str(r.chain), r.position, r.before, r.started, r.translated, r.status) for r in found.collect())
+    got = of(chain.links(df, block=F.floor(F.col("position") / cut)))
+    assert len(got) == len(rows) and got == of(chain.links(df))
+
+
+def test_running_producers_by_stripes_equal_brute_force(spark):
+    rng = random.Random(9)
+    made = [(f"p{k}", rng.choice(["hot", "hot", "x", "y"]), rng.randrange(300)) for k in range(400)]
+    read = [(k, f"c{k}", rng.choice(["hot", "x", "none", None]), rng.randrange(300)) for k in range(400)]
+    p, c = spark.createDataFrame(made, "src string, digest string, at int"), spark.createDataFrame(read, "input int, dst string, digest string, at int")
+    for stripes in (1, 5, 64):
+        got = {r.input: (r.src, r["class"]) for r in lineage.resolve_ordered(p, c, stripes).collect()}
+        for k, _, d, at in read:
+            some = [(t, s) for s, e, t in made if e == d]
+            best = max(((t, s) for t, s in some if t <= at), default=None)
+            assert got[k] == (best[1] if best else None, "resolvable" if best else "unsequenced" if some else "orphan")
