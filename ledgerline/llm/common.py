@@ -44,13 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
 _OPEN: list[list[DataFrame]] = []
 
 
+#: Removes the shuffle files of an execution when it ends.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _no_shuffle_left(spark: SparkSession) -> Iterator[None]:
+    """Executions inside leave no shuffle files behind; the session's own setting comes back at the end."""
+    old = spark.conf.get(_SHUFFLE_CLEANUP)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, old)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back, which cuts its lineage.
 
-    The files are replicated by the store, so the loss of an executor costs nothing.
+    The files are replicated by the store, so the loss of an executor costs nothing, and
+    the shuffle files behind them are not needed any more.
     """
     path = f"{shared_dir(df.sparkSession)}/ledgerline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _no_shuffle_left(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     made = df.sparkSession.read.schema(df.schema).parquet(path)
     if _OPEN:
         _OPEN[-1].append(made)

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,13 +120,13 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
     return ["" if t is None else t for t in batch.column("text").to_pylist()]
 
 
-def neighbours(rows: DataFrame, key: list[str], place: list[str]) -> DataFrame:
+def neighbours(rows: DataFrame, key: list[str], place: list[str], bare: bool = False) -> DataFrame:
     """``rows`` sorted by key and place (whole numbers), with what neighbours say, stored.
 
     Adds ``after`` (the next row has the same key), ``before`` (the row before has) and
     that row's place, as before_<column>. Rows without such a neighbour are left out,
     unless they have a true column ``many``. ``rows`` should be stored or cheap: ranges
-    are sampled first.
+    are sampled first. ``bare`` leaves the key out of the result and of what is stored.
     """
     names = rows.columns
     old = [f"before_{c}" for c in place]
@@ -157,7 +158,9 @@ def neighbours(rows: DataFrame, key: list[str], place: list[str]) -> DataFrame:
             out = part.take(pa.array(here))
             past = [pa.array(np.where(before[here], np.asarray(part.column(c))[here - 1], 0)) for c in place]
             part_id = pa.array(np.full(len(here), TaskContext.get().partitionId(), np.int32))
-            return pa.RecordBatch.from_arrays([*out.columns, pa.array(before[here]), pa.array(after[here]), *past, pa.array(edge[here]), part_id], names=[*names, "before", "after", *old, "edge", "part"])
+            inner = pa.array(edge[here] == 0)
+            cols = [pc.if_else(inner, pa.scalar(None, out.column(c).type), out.column(c)) if bare and c in key else out.column(c) for c in names]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(before[here]), pa.array(after[here]), *past, pa.array(edge[here]), part_id], names=[*names, "before", "after", *old, "edge", "part"])
 
         # held is two rows at most: one told already and the last, which waits for its successor
         for batch in batches:
@@ -193,7 +196,7 @@ def neighbours(rows: DataFrame, key: list[str], place: list[str]) -> DataFrame:
             *(F.when(reached, F.col(f"p_{c}")).otherwise(F.col(o)).cast(kinds[c]).alias(o) for o, c in zip(old, place, strict=True)),
         )
     wanted = F.col("before") | F.col("after")
-    return fixed.filter(wanted | F.col("many") if many else wanted).drop("edge", "part")
+    return fixed.filter(wanted | F.col("many") if many else wanted).drop("edge", "part", *(key if bare else ()))
 
 
 def _runs(marked: DataFrame) -> DataFrame:
@@ -245,24 +248,28 @@ def _windows(asked: DataFrame) -> DataFrame:
 
 def _repeats(rows: DataFrame) -> DataFrame:
     """What :func:`repeats` gives, and rid, of rows (rid, doc_id, text) that are stored; stored as well."""
-    suffixes = stored(_suffixes(rows), "suffixes")
-    marks = neighbours(suffixes, ["seed"], ["rid", "pos"]).groupBy("rid").agg(F.collect_list("pos").alias("pos"))
-    runs = stored(_runs(rows.join(marks, "rid")).join(rows.select("rid", "doc_id"), "rid"), "runs")
+    # each step's tables go as soon as the next one is stored
+    with scratch() as keep:
+        suffixes = stored(_suffixes(rows), "suffixes")
+        marks = neighbours(suffixes, ["seed"], ["rid", "pos"], bare=True).groupBy("rid").agg(F.collect_list("pos").alias("pos"))
+        runs = keep(stored(_runs(rows.join(marks, "rid")).join(rows.select("rid", "doc_id"), "rid"), "runs"))
     # the classes of equal stretches: each goes on with the place where it stands first
     key, place = ["span", "check", "words"], F.struct("doc_id", "rid", "at")
-    classes = runs.groupBy(*key).agg(F.min(place).alias("p"), (F.count("*") > 1).alias("many")).select(*key, F.col("p.doc_id").alias("owner_id"), F.col("p.rid").alias("owner_rid"), F.col("p.at").alias("owner_at"), "many")
     order = ["owner_id", "owner_rid", "owner_at"]
-    classes = stored(stored(classes, "classes").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cid", F.monotonically_increasing_id()), "classes")
-    asked = classes.groupBy(F.col("owner_rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("owner_at").alias("at"), "words", "many")).alias("runs"))
-    windows = stored(_windows(rows.select("rid", "text").join(asked, "rid").select("text", "runs")), "windows")
-    found = neighbours(windows, ["name", "check"], ["cid", "i"])
-    # a class is a part of one text, so what is ordered together here is bounded by a text
-    by = Window.partitionBy("cid").orderBy("i")
-    last = lambda c: F.lag(c).over(by)
-    goes_on = (last("i") == F.col("i") - 1) & (last("before") == F.col("before")) & (~F.col("before") | (last("before_cid") == F.col("before_cid")) & (last("before_i") == F.col("before_i") - 1))
-    cut = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    firsts = F.min(F.struct("i", "before", "before_cid", "before_i")).alias("f")
-    parts = stored(cut.groupBy("cid", "part").agg(firsts, F.max("i").alias("last")).select("cid", "f.*", "last"), "parts")
+    with scratch() as keep:
+        classes = stored(runs.groupBy(*key).agg(F.min(place).alias("p"), (F.count("*") > 1).alias("many")).select(*key, F.col("p.doc_id").alias("owner_id"), F.col("p.rid").alias("owner_rid"), F.col("p.at").alias("owner_at"), "many"), "classes")
+        classes = keep(stored(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cid", F.monotonically_increasing_id()), "classes"))
+    with scratch() as keep:
+        asked = classes.groupBy(F.col("owner_rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("owner_at").alias("at"), "words", "many")).alias("runs"))
+        windows = stored(_windows(rows.select("rid", "text").join(asked, "rid").select("text", "runs")), "windows")
+        found = neighbours(windows, ["name", "check"], ["cid", "i"], bare=True)
+        # a class is a part of one text, so what is ordered together here is bounded by a text
+        by = Window.partitionBy("cid").orderBy("i")
+        last = lambda c: F.lag(c).over(by)
+        goes_on = (last("i") == F.col("i") - 1) & (last("before") == F.col("before")) & (~F.col("before") | (last("before_cid") == F.col("before_cid")) & (last("before_i") == F.col("before_i") - 1))
+        cut = found.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("part", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        firsts = F.min(F.struct("i", "before", "before_cid", "before_i")).alias("f")
+        parts = keep(stored(cut.groupBy("cid", "part").agg(firsts, F.max("i").alias("last")).select("cid", "f.*", "last"), "parts"))
     # the first of a class has the windows' own earlier places; its copies are copies as wholes
     head = classes.select("cid", F.col("owner_id").alias("doc_id"), F.col("owner_rid").alias("rid"), F.col("owner_at").alias("at"))
     past = classes.select(F.col("cid").alias("before_cid"), F.col("owner_id").alias("past_id"), F.col("owner_at").alias("past_at"))
