@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLVABLE, UNSEQUENCED, ORPHAN = "resolvable", "unsequenced", "orphan"
@@ -30,6 +30,17 @@ def resolve(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     return found.select("input", "dst", F.col("latest.src").alias("src"), kind.alias("class"))
 
 
+def _stripe(at: Column, edges: list, first: int) -> Column:
+    """``first`` and how many of the ascending ``edges`` are at most ``at`` (null: none), as halvings.
+
+    A lambda over an array would say the same, but the optimizer fails on one below this union.
+    """
+    if not edges:
+        return F.lit(first)
+    mid = len(edges) // 2
+    return F.when(at >= F.lit(edges[mid]), _stripe(at, edges[mid + 1 :], first + mid + 1)).otherwise(_stripe(at, edges[:mid], first))
+
+
 def resolve_ordered(producers: DataFrame, consumers: DataFrame, stripes: int = 256, sample: int = 20_000) -> DataFrame:
     """As :func:`resolve`, for inputs of one digest each that none of its own run's outputs bears.
 
@@ -46,7 +57,7 @@ def resolve_ordered(producers: DataFrame, consumers: DataFrame, stripes: int = 2
     n = times.count()
     picked = sorted(r.at for r in times.sample(min(1.0, sample / max(1, n)), 7).collect() if r.at is not None)  # about ``sample`` values
     edges = sorted({picked[i * len(picked) // stripes] for i in range(1, stripes)}) if picked and n > stripes else []
-    stripe = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col("at"))) if edges else F.lit(0)
+    stripe = _stripe(F.col("at"), edges, 0)
     both = made.unionByName(read).withColumn("stripe", stripe)
     seen = Window.partitionBy("digest", "stripe").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("d").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
