@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.bpe import chunks, code_points, word_hashes
-from ledgerline.llm.common import mapped, scratch, stored, table
+from ledgerline.llm.common import bitmap, mapped, scratch, split, stored, table
 
 MIN_WORDS, WINDOW = 50, 18
 SEED = MIN_WORDS - WINDOW + 1
@@ -251,8 +251,10 @@ def _repeats(rows: DataFrame) -> DataFrame:
     # each step's tables go as soon as the next one is stored
     with scratch() as keep:
         suffixes = stored(_suffixes(rows), "suffixes")
-        marks = neighbours(suffixes, ["seed"], ["rid", "pos"], bare=True).groupBy("rid").agg(F.collect_list("pos").alias("pos"))
-        runs = keep(stored(_runs(rows.join(marks, "rid")).join(rows.select("rid", "doc_id"), "rid"), "runs"))
+        marks = stored(neighbours(suffixes, ["seed"], ["rid", "pos"], bare=True).groupBy("rid").agg(F.collect_list("pos").alias("pos")), "marks")
+        # here and below, texts that are certainly in no pair are not shuffled
+        marked = split(rows.select("rid", "text"), F.col("rid"), bitmap(marks.select("rid")))[0].join(marks, "rid")
+        runs = keep(stored(_runs(marked).join(rows.select("rid", "doc_id"), "rid"), "runs"))
     # the classes of equal stretches: each goes on with the place where it stands first
     key, place = ["span", "check", "words"], F.struct("doc_id", "rid", "at")
     order = ["owner_id", "owner_rid", "owner_at"]
@@ -261,7 +263,8 @@ def _repeats(rows: DataFrame) -> DataFrame:
         classes = keep(stored(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("cid", F.monotonically_increasing_id()), "classes"))
     with scratch() as keep:
         asked = classes.groupBy(F.col("owner_rid").alias("rid")).agg(F.collect_list(F.struct("cid", F.col("owner_at").alias("at"), "words", "many")).alias("runs"))
-        windows = stored(_windows(rows.select("rid", "text").join(asked, "rid").select("text", "runs")), "windows")
+        owners = split(rows.select("rid", "text"), F.col("rid"), bitmap(classes.select(F.col("owner_rid").alias("rid")).distinct()))[0]
+        windows = stored(_windows(owners.join(asked, "rid").select("text", "runs")), "windows")
         found = neighbours(windows, ["name", "check"], ["cid", "i"], bare=True)
         # a class is a part of one text, so what is ordered together here is bounded by a text
         by = Window.partitionBy("cid").orderBy("i")
@@ -327,7 +330,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         span = F.struct("start", "end")
         cuts = found.groupBy(F.col("rid").alias("__cut")).agg(F.collect_list(F.when(~F.col("kept"), span)).alias("__gone"), F.collect_list(F.when(F.col("kept"), span)).alias("__held"))
         cuts = keep(stored(cuts.filter(F.size("__gone") > 0), "cuts"))
-    both = rows.join(cuts, F.col("__rid") == F.col("__cut"), "left")
+        bits = keep(bitmap(cuts.select("__cut")))
+    touched, whole = split(rows, F.col("__rid"), bits)
+    both = touched.join(cuts, F.col("__rid") == F.col("__cut"), "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +345,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 own["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([own.get(c, batch.column(c)) for c in names], names=names)
 
-    return mapped(both.select(*(F.col(f"`{c}`") for c in names), "__gone", "__held"), each, docs.schema)
+    columns = [F.col(f"`{c}`") for c in names]
+    whole = whole.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in names else whole
+    return mapped(both.select(*columns, "__gone", "__held"), each, docs.schema).unionAll(whole.select(*columns))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
