@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLVABLE, UNSEQUENCED, ORPHAN = "resolvable", "unsequenced", "orphan"
 
 
-def resolve(producers: DataFrame, consumers: DataFrame) -> DataFrame:
+def resolve(producers: DataFrame, consumers: DataFrame, stripes: int = 256, sample: int = 20_000) -> DataFrame:
     """Each input with the latest producer of any of its digests that finished before its run started.
 
     ``producers``: src, digest, at (text or any ordered time). ``consumers``: input (names an
@@ -17,17 +19,49 @@ def resolve(producers: DataFrame, consumers: DataFrame) -> DataFrame:
     the greatest name wins; a run is never its own producer; ``at`` of a producer equal to
     that of the consumer counts as before.
 
-    A digest that very many runs share (an empty file, say) is a skewed join key: producers
-    are first reduced to one row for each (digest, src), and the minimum per input is
-    combined before its shuffle, so pairs are never gathered.
+    No producer is paired with a consumer: the rows of a digest are walked in order of time,
+    and carried along are the latest producer and the latest one of another run, which stands
+    in where the first is the consumer itself. Of a digest that very many runs share (an
+    empty file, say) each stripe of time is walked by itself; what its earlier stripes hold is
+    one row each. Which digests these are, at most ``stripes``, a sample of about ``sample`` rows tells.
     """
-    made = producers.groupBy("digest", "src").agg(F.min("at").alias("first_at"), F.max("at").alias("at"), F.array_sort(F.collect_set("at")).alias("times"))
-    pairs = consumers.alias("c").join(made.alias("p"), (F.col("c.digest") == F.col("p.digest")) & (F.col("c.dst") != F.col("p.src")), "left")
-    before = F.array_max(F.filter("p.times", lambda t: t <= F.col("c.at")))
-    latest = F.max(F.when(before.isNotNull(), F.struct(before.alias("at"), F.col("p.src").alias("src"))))
-    found = pairs.groupBy("c.input", "c.dst").agg(latest.alias("latest"), F.count_if(F.col("p.src").isNotNull()).alias("n"))
-    kind = F.when(F.col("latest").isNotNull(), RESOLVABLE).when(F.col("n") > 0, UNSEQUENCED).otherwise(ORPHAN)
-    return found.select("input", "dst", F.col("latest.src").alias("src"), kind.alias("class"))
+    made = producers.filter("src is not null and digest is not null")
+    read = consumers.filter("digest is not null")
+    rows = made.select("digest", "at").unionAll(read.select("digest", "at"))
+    n = rows.count()
+    picked = rows.sample(min(1.0, sample / max(1, n)), 7).collect() if n > stripes else []
+    often = Counter(bytes(r.digest) if isinstance(r.digest, bytearray) else r.digest for r in picked)
+    hot = [d for d, k in often.items() if k * stripes >= len(picked)]
+    times = sorted(r.at for r in picked if r.at is not None)
+    edges = sorted({times[i * len(times) // stripes] for i in range(1, stripes)}) if times and hot else []
+    is_hot = F.col("digest").isin(hot) if edges else F.lit(False)
+    stripe = F.when(is_hot, _stripe(F.col("at"), edges, 0)).otherwise(0)
+    point = F.when(F.col("at").isNotNull(), F.struct("at", "src"))
+    both = made.select("digest", "at", F.lit(0).alias("side"), "src", point.alias("made")).unionByName(read.select("digest", "at", F.lit(1).alias("side"), "input", "dst"), allowMissingColumns=True).withColumn("stripe", stripe)
+    part = Window.partitionBy("digest", "stripe")
+    order = part.orderBy("at", "side", "src")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # where the latest producer changes from one run to another, the one before is the latest of another run
+    walked = both.withColumn("prior", F.last("made", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    walked = walked.withColumn("turn", F.when(F.col("prior.src") != F.col("made.src"), F.col("prior")))
+    found = walked.withColumns({"here": F.max("made").over(so_far), "other": F.max("turn").over(so_far), "least": F.min("src").over(part), "most": F.max("src").over(part)}).filter("side = 1")
+    best = ["here", "other"]
+    if edges:
+        held = walked.filter(is_hot).groupBy(F.col("digest").alias("d"), F.col("stripe").alias("s")).agg(F.max("made").alias("here_s"), F.max("turn").alias("other_s"), F.min("src").alias("least_s"), F.max("src").alias("most_s"))
+        whole = Window.partitionBy("d")
+        before = whole.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+        held = held.withColumn("here_before", F.last("here_s", ignorenulls=True).over(before))
+        held = held.withColumn("turn_s", F.coalesce("other_s", F.when(F.col("here_before.src") != F.col("here_s.src"), F.col("here_before"))))
+        held = held.select("d", "s", "here_before", F.last("turn_s", ignorenulls=True).over(before).alias("other_before"), F.min("least_s").over(whole).alias("least_d"), F.max("most_s").over(whole).alias("most_d"))
+        found = found.join(F.broadcast(held), (F.col("digest") == F.col("d")) & (F.col("stripe") == F.col("s")), "left").withColumns({"least": F.coalesce("least_d", "least"), "most": F.coalesce("most_d", "most")})
+        best += ["here_before", "other_before"]
+    latest = F.coalesce(*(F.when(F.col(f"{c}.src") != F.col("dst"), F.col(c)) for c in best))
+    any_ = F.coalesce((F.col("least") != F.col("dst")) | (F.col("most") != F.col("dst")), F.lit(False))
+    each = found.select("input", "dst", latest.alias("latest"), any_.alias("any"))
+    alone = consumers.filter("digest is null").select("input", "dst", F.lit(None).cast(each.schema["latest"].dataType).alias("latest"), F.lit(False).alias("any"))
+    one = each.unionAll(alone).groupBy("input", "dst").agg(F.max("latest").alias("latest"), F.max("any").alias("any"))
+    kind = F.when(F.col("latest").isNotNull(), RESOLVABLE).when(F.col("any"), UNSEQUENCED).otherwise(ORPHAN)
+    return one.select("input", "dst", F.col("latest.src").alias("src"), kind.alias("class"))
 
 
 def _stripe(at: Column, edges: list, first: int) -> Column:

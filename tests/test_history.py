@@ -151,3 +151,32 @@ def test_running_producers_by_stripes_equal_brute_force(spark):
             some = [(t, s) for s, e, t in made if e == d]
             best = max(((t, s) for t, s in some if t <= at), default=None)
             assert got[k] == (best[1] if best else None, "resolvable" if best else "unsequenced" if some else "orphan")
+
+
+@pytest.mark.parametrize("stripes", [4, 64, 100_000])
+def test_latest_producers_of_shared_digests_equal_brute_force(spark, stripes):
+    rng = random.Random(stripes)
+    runs = [f"r{k}" for k in range(12)]
+    made = [(rng.choice([*runs, None]), rng.choice(["hot", "hot", "x", "y", None]), rng.choice([None, *range(40)])) for _ in range(500)]
+    read = [(k, rng.choice([*runs, "c", None]), d, rng.choice([None, *range(40)])) for k in range(300) for d in rng.choice([["hot"], ["x", "hot"], ["y", "x"], ["none"], [None]])]
+    at = {(k, dst): t for k, dst, _, t in read}
+    dst = {k: d for k, d, _, _ in read}
+    read = [(k, dst[k], d, at[k, dst[k]]) for k, _, d, _ in read if (k, dst[k]) in at]
+    p, c = spark.createDataFrame(made, "src string, digest string, at int"), spark.createDataFrame(read, "input int, dst string, digest string, at int")
+    got = {r.input: (r.src, r["class"]) for r in lineage.resolve(p, c, stripes).collect()}
+    assert set(got) == set(dst)
+    for k in dst:
+        some = [(t, s) for s, e, t in made for i, d, digest, _ in read if i == k and digest is not None and e == digest and None not in (s, d) and s != d]
+        now = next(t for i, _, _, t in read if i == k)
+        best = max(((t, s) for t, s in some if t is not None and now is not None and t <= now), default=None)
+        assert got[k] == (best[1] if best else None, "resolvable" if best else "unsequenced" if some else "orphan")
+
+
+def test_no_producer_is_paired_with_a_consumer(spark):
+    """Crowds of 30,000 producers and 30,000 consumers of one digest, whose pairs nobody could store."""
+    p = spark.range(30_000).selectExpr("'r' || id as src", "'d' as digest", "id as at")
+    c = spark.range(30_000).selectExpr("id as input", "'r' || id as dst", "'d' as digest", "id as at")
+    found = lineage.resolve(p, c)
+    assert found.groupBy("class").count().orderBy("class").collect() == [("resolvable", 29_999), ("unsequenced", 1)]
+    assert found.filter("class = 'resolvable' and src <> 'r' || (input - 1)").count() == 0
+    assert "p.digest" not in found._jdf.queryExecution().optimizedPlan().toString() and found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
