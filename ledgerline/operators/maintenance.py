@@ -83,6 +83,8 @@ def package_set_digest(packages: DataFrame, env: str, scheme: str) -> DataFrame:
     line = F.when(F.col("manager") == "pip", F.concat_ws(" ", F.lit("pip"), "name", "version")).otherwise(F.concat(F.lit("conda "), F.col("name"), F.lit(" "), F.col("version"), F.lit(" "), F.coalesce("build", F.lit(""))))
     entry = F.struct(F.when(F.col("manager") == "pip", 0).otherwise(1).alias("half"), F.col("name").cast("binary").alias("key"), line.alias("line"))
     got = packages.groupBy(env).agg(F.array_sort(F.collect_list(F.when(F.col("manager").isNotNull(), entry))).alias("entries"), F.count_if(F.col("kind") == "refused").alias("refused"))
-    twice = F.size(F.array_distinct(F.transform("entries", lambda e: F.struct(e["half"], e["key"])))) < F.size("entries")
+    # as texts, which are told apart by hashing; structs are compared each with each
+    named = F.transform("entries", lambda e: F.concat(e["half"].cast("string"), F.coalesce(F.hex(e["key"]), F.lit("-"))))
+    twice = F.size(F.array_distinct(named)) < F.size("entries")
     text = F.concat(F.lit(scheme), F.lit("\n"), F.array_join(F.transform("entries", lambda e: F.concat(e["line"], F.lit("\n"))), ""))
     return got.select(env, F.when((F.col("refused") == 0) & ~twice, F.sha2(text.cast("binary"), 256)).alias("digest"), F.size("entries").cast("bigint").alias("n_packages"), "refused", twice.alias("collides"))
