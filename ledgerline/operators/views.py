@@ -34,6 +34,21 @@ def latest(rows: DataFrame, keys: list[str], order: list[str], *values: str) ->
     return rows.groupBy(*keys).agg(last).select(*keys, *(F.col(f"last.{v}").alias(v) for v in values))
 
 
+def with_next(rows: DataFrame, key: str, order: str, value: str, into: str, block: int = 1 << 17) -> DataFrame:
+    """Rows with the value of the next row of their key in the order of a whole number; null for the last.
+
+    Numbers are cut into blocks, so that a key with very many rows is walked by many tasks;
+    what a block needs of those after it is their first row. ``rows`` are asked twice.
+    """
+    one = F.struct(F.col(value).alias("v"))
+    blocked = rows.withColumn("__block", F.floor(F.col(order) / block))
+    first = blocked.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__of")).agg(F.min_by(one, order).alias("__first"))
+    after = first.withColumn("__after", F.lead("__first").over(Window.partitionBy("__key").orderBy("__of"))).drop("__first")
+    own = blocked.withColumn("__next", F.lead(one).over(Window.partitionBy(key, "__block").orderBy(order)))
+    out = own.join(after, F.col(key).eqNullSafe(F.col("__key")) & F.col("__block").eqNullSafe(F.col("__of")))
+    return out.withColumn(into, F.coalesce("__next", "__after")["v"]).drop("__block", "__key", "__of", "__after", "__next")
+
+
 def select_runs(runs: DataFrame, bucket: Column, order: str, limit: int) -> DataFrame:
     """The last ``limit`` runs of the best bucket that holds any, with ``matching``, their number before the limit.
 

@@ -12,7 +12,7 @@ from ledgerline.sources import history
 SF = "/root/testdata/sf0.001"
 #: Questions that go over the lines in one pass, and questions that store what they ask more than once.
 ONCE = ("history_rules", "history_gate", "history_log", "history_scripts", "history_script_values", "history_writers", "history_io")
-STORED = ("history_crate", "history_file_diff", "history_prov", "history_verify", "history_verify_report", "history_lineage", "history_in_flight", "history_markers")
+STORED = ("history_crate", "history_file_diff", "history_prov", "history_verify", "history_verify_report", "history_lineage", "history_in_flight", "history_markers", "history_resource_diff")
 
 
 def plan(df):
@@ -36,3 +36,11 @@ def test_states_of_odd_lines(spark, tmp_path):
     (tmp_path / "h.jsonl").write_bytes("\n".join([*ok, *bad, *blank]).encode() + b"\n")
     got = [r.parse_state for r in history.parsed(history.lines(spark, str(tmp_path / "h.jsonl"))).orderBy("position").collect()]
     assert got == ["ok"] * len(ok) + ["bad"] * len(bad) + ["blank"] * len(blank)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 17])
+def test_next_values_by_blocks_are_those_of_one_walk(spark, block):
+    rows = [("a", k, float(k) if k % 4 else None) for k in (0, 1, 2, 5, 6, 9, 40)] + [("b", 7, 1.0), (None, 1, 2.0), (None, 3, 4.0)]
+    got = {(r.s, r.k): r.b for r in views.with_next(spark.createDataFrame(rows, "s string, k long, a double"), "s", "k", "a", "b", block).collect()}
+    later = lambda s, k: next((a for t, n, a in sorted(rows, key=lambda r: r[1]) if t == s and n > k), None)
+    assert got == {(s, k): later(s, k) for s, k, _ in rows}
