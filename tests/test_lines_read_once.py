@@ -12,7 +12,7 @@ from ledgerline.sources import history
 SF = "/root/testdata/sf0.001"
 #: Questions that go over the lines in one pass, and questions that store what they ask more than once.
 ONCE = ("history_rules", "history_gate", "history_log", "history_scripts", "history_script_values", "history_writers", "history_io")
-STORED = ("history_crate", "history_file_diff", "history_prov", "history_verify", "history_verify_report", "history_lineage", "history_in_flight", "history_markers", "history_resource_diff", "history_select", "history_inputs_verify", "history_find_match")
+STORED = ("history_crate", "history_file_diff", "history_prov", "history_verify", "history_verify_report", "history_lineage", "history_in_flight", "history_markers", "history_resource_diff", "history_select", "history_inputs_verify", "history_find_match", "history_claims")
 
 
 def plan(df):
